@@ -41,6 +41,13 @@ def top_n_excluding_self(means: DataFrame, n: int, item: str = "game_title") ->
                            F.col("_s")[item].alias(item), F.col("_s.mean_rating").alias("mean_rating")))
 
 
+def most_rated(catalog: DataFrame, n: int) -> DataFrame:
+    """The cold-start list: the ``n`` items with most ratings."""
+    order = best_first("user_ratings_count", "title")
+    head = catalog.select("title", "user_ratings_count").orderBy(*order).limit(n)
+    return head.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "title", "user_ratings_count")
+
+
 def rank_band(position: Column, top: int = 10, mid: int = 30) -> Column:
     return F.when(position <= top, "top").when(position <= mid, "mid").otherwise("rest")
 

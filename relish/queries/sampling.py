@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from relish.operators import lookup, sampling, split
 from relish.queries import oracle, query
 from relish.queries.joins import BUCKET, ITEMS, SPLIT, USERS, item_ids, user_ids
+from relish.session import materialize
 from relish.sources import warehouse
 
 # Smallest prime not below the number of items, and every user's shuffled item order over it.
@@ -62,6 +63,7 @@ def negatives(spark, sf_dir, k=100):
     rows = warehouse.ratings(spark, sf_dir)
     test = rows.where(split.tenths_test(F.col("row_key")))
     pos = lookup.interactions(test, users, items).select("user_idx", "game_idx").distinct()
+    pos = materialize(pos, "positives")
     n_items = items.count()
     neg = sampling.first_unseen(pos, "user_idx", "game_idx", k, n_items, sampling.Shuffle(n_items, "neg"))
     return pos, neg, n_items
