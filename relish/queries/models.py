@@ -1 +1,161 @@
-"""Placeholder docstring."""
+"""Neural collaborative filtering and forest queries.
+
+Forward, loss and ranking queries use layers and factors hashed from their names, so SQL
+can state every number; the training queries report what must hold for a learned model.
+"""
+
+from pyspark.sql import functions as F
+
+from relish.operators import lookup, metrics, ncf, sampling, split
+from relish.operators.order import dense_positions
+from relish.queries import oracle, query
+from relish.queries.joins import BUCKET, ITEMS, SPLIT, USERS, item_ids, user_ids
+from relish.queries.sampling import NEG_CTES, negatives
+from relish.session import materialize
+from relish.sources import warehouse
+
+DIM, HIDDEN = 4, (8, 4)
+DENSE = ncf.hash_dense(DIM, HIDDEN)
+
+
+def _unit(name, key):
+    return f"(('0x'||substr(md5(concat_ws('|', '{name}', {key})),1,8))::bigint % 2001 - 1000) / 1000.0::double"
+
+
+def _factors(alias, table, key, side):
+    cols = ", ".join(f"{_unit(f'{side}{part}{j}', key)} as {side}{part}{j}" for part in "gm" for j in range(DIM))
+    return f"{alias} as (select {key}, {cols} from {table})"
+
+
+def _num(x):
+    return f"({float(x)!r}::double)"
+
+
+def _score(v="v"):
+    """The forward pass as one expression over columns ug*, um* and the item columns."""
+    def hidden1(i):
+        terms = [f"um{j} * {_num(DENSE.w1[j, i])} + {v}m{j} * {_num(DENSE.w1[DIM + j, i])}" for j in range(DIM)]
+        return f"greatest({' + '.join(terms)} + {_num(DENSE.b1[i])}, 0)"
+
+    def hidden2(i):
+        return f"greatest({' + '.join(f'{v}h{j} * {_num(DENSE.w2[j, i])}' for j in range(HIDDEN[0]))} + {_num(DENSE.b2[i])}, 0)"
+    first = ", ".join(f"{hidden1(i)} as {v}h{i}" for i in range(HIDDEN[0]))
+    gmf = " + ".join(f"ug{j} * {v}g{j} * {_num(DENSE.out[j])}" for j in range(DIM))
+    mlp = " + ".join(f"{hidden2(i)} * {_num(DENSE.out[DIM + i])}" for i in range(HIDDEN[1]))
+    return first, f"{gmf} + {mlp} + {_num(DENSE.bias)}"
+
+
+def _scored(alias, source, keep, name="score", v="v"):
+    first, total = _score(v)
+    return f"{alias} as (select {keep}, {total} as {name} from (select *, {first} from {source}))"
+
+
+FACTORS = f"""{USERS},
+{ITEMS},
+{_factors('uf', 'users', 'user_idx', 'u')},
+{_factors('vf', 'items', 'game_idx', 'v')}"""
+RATED = "rated as (select row_key, user_idx, game_idx, rating from fx_ratings join users using (user_id) join items using (game_title) where rating is not null)"
+NEGS = (f"negs as (select *, ('0x'||substr(md5(concat_ws('|', 'neg', '0', row_key)),1,8))::bigint % (select count(*) from items) as neg_idx from rated),\n"
+        f"{_factors('nf', 'items', 'game_idx', 'v').replace('nf as (select game_idx', 'nf as (select game_idx as neg_idx')},\n"
+        + _scored("pos_s", "negs join uf using (user_idx) join vf using (game_idx)", "row_key, rating, user_idx, neg_idx", "pos") + ",\n"
+        + _scored("both_s", "pos_s join uf using (user_idx) join nf using (neg_idx)", "row_key, rating, pos", "neg"))
+
+
+def rated(spark, sf_dir, users=None, items=None):
+    users, items = users or user_ids(spark, sf_dir), items or item_ids(spark, sf_dir)
+    return lookup.interactions(warehouse.ratings(spark, sf_dir), users, items)
+
+
+def factors(spark, sf_dir):
+    users, items = user_ids(spark, sf_dir), item_ids(spark, sf_dir)
+    return (users, items, ncf.hash_factors(users.select("user_idx"), "user_idx", "u", DIM),
+            ncf.hash_factors(items.select("game_idx"), "game_idx", "v", DIM))
+
+
+@query("factor_join", oracle("ratings", "catalog", ctes=f"{FACTORS},\n{RATED}", select="select row_key, round("
+       + " + ".join(f"ug{j} * vg{j}" for j in range(DIM)) + ", 6) as gmf_dot, round(" + " + ".join(f"um{j} * vm{j}" for j in range(DIM))
+       + ", 6) as mlp_dot from rated join uf using (user_idx) join vf using (game_idx)"))
+def factor_join(spark, sf_dir):
+    from relish.functions.vectors import dot
+    users, items, uf, vf = factors(spark, sf_dir)
+    rows = ncf.with_factors(rated(spark, sf_dir, users, items), uf, vf)
+    return rows.select("row_key", F.round(dot(F.col("ug"), F.col("vg")), 6).alias("gmf_dot"), F.round(dot(F.col("um"), F.col("vm")), 6).alias("mlp_dot"))
+
+
+@query("ncf_forward", oracle("ratings", "catalog", ctes=f"{FACTORS},\n{RATED},\n"
+       + _scored("scored", "rated join uf using (user_idx) join vf using (game_idx)", "row_key, user_idx, game_idx"),
+       select="select row_key, user_idx, game_idx, round(score, 6) as score from scored"))
+def ncf_forward(spark, sf_dir):
+    users, items, uf, vf = factors(spark, sf_dir)
+    rows = rated(spark, sf_dir, users, items).select("row_key", "user_idx", "game_idx")
+    return ncf.score_pairs(rows, uf, vf, DENSE).withColumn("score", F.round("score", 6))
+
+
+def _both(spark, sf_dir):
+    users, items, uf, vf = factors(spark, sf_dir)
+    rows = rated(spark, sf_dir, users, items)
+    rows = rows.withColumn("neg_idx", sampling.random_negative(F.col("row_key"), 0, items.count()))
+    return ncf.score_both(rows, uf, vf, DENSE)
+
+
+BPR = "case when pos >= neg then ln(1 + exp(neg - pos)) else ln(1 + exp(pos - neg)) + neg - pos end"
+
+
+@query("loss_mse", oracle("ratings", "catalog", ctes=f"{FACTORS},\n{RATED},\n{NEGS}",
+                          select="select count(*) as n_rows, round(avg((pos - rating) ** 2), 6) as mse from both_s"))
+def loss_mse(spark, sf_dir):
+    return ncf.losses(_both(spark, sf_dir), 1.0).select("n_rows", F.round("hybrid", 6).alias("mse"))
+
+
+@query("loss_bpr", oracle("ratings", "catalog", ctes=f"{FACTORS},\n{RATED},\n{NEGS}",
+                          select=f"select count(*) as n_rows, round(avg({BPR}), 6) as bpr from both_s"))
+def loss_bpr(spark, sf_dir):
+    return ncf.losses(_both(spark, sf_dir), 0.0).select("n_rows", F.round("hybrid", 6).alias("bpr"))
+
+
+@query("loss_hybrid", oracle("ratings", "catalog", ctes=f"{FACTORS},\n{RATED},\n{NEGS}",
+                             select=f"select count(*) as n_rows, round(0.6::double * avg((pos - rating) ** 2) + 0.4::double * avg({BPR}), 6) as hybrid from both_s"))
+def loss_hybrid(spark, sf_dir):
+    return ncf.losses(_both(spark, sf_dir)).select("n_rows", F.round("hybrid", 6).alias("hybrid"))
+
+
+@query("loss_eval", oracle("ratings", "catalog", ctes=f"{FACTORS},\n{RATED},\n"
+       + _scored("scored", "rated join uf using (user_idx) join vf using (game_idx)", "row_key, rating") + """,
+batches as (select (rn - 1) // 64 as batch, avg((score - rating) ** 2) as loss from (select *, row_number() over (order by row_key) as rn from scored) group by 1)""",
+       select="select count(*) as n_batches, round(sum(loss), 4) as loss_sum, round(avg(loss), 6) as loss_mean from batches"))
+def loss_eval(spark, sf_dir):
+    users, items, uf, vf = factors(spark, sf_dir)
+    scored = ncf.score_pairs(rated(spark, sf_dir, users, items), uf, vf, DENSE)
+    placed = dense_positions(scored.select("row_key", "score", "rating"), [F.col("row_key").asc()], "pos")
+    return ncf.batch_loss(placed, "pos").select("n_batches", F.round("loss_sum", 4).alias("loss_sum"), F.round("loss_mean", 6).alias("loss_mean"))
+
+
+@query("ncf_topn", oracle("ratings", "catalog", ctes=f"{FACTORS},\n" + _scored("scored", "uf cross join vf", "user_idx, game_idx") + """,
+best as (select *, row_number() over (partition by user_idx order by score desc, game_idx) as rank from scored)""",
+       select="select user_id, rank, game_title, round(score, 6) as score from best join users using (user_idx) join items using (game_idx) where rank <= 5"))
+def ncf_topn(spark, sf_dir):
+    users, items, uf, vf = factors(spark, sf_dir)
+    top = ncf.top_items(uf, vf, DENSE, 5)
+    return top.join(users, "user_idx").join(items, "game_idx").select("user_id", "rank", "game_title", F.round("score", 6).alias("score"))
+
+
+@query("sampled_rank_eval", oracle("ratings", "catalog", ctes=f"{NEG_CTES},\n{_factors('uf', 'users', 'user_idx', 'u')},\n{_factors('vf', 'items', 'game_idx', 'v')},\n"
+       + "cand as (select user_idx, game_idx, 1 as relevant from pos union all select user_idx, game_idx, 0 as relevant from neg),\n"
+       + _scored("scored", "cand join uf using (user_idx) join vf using (game_idx)", "user_idx, game_idx, relevant") + ",\n"
+       + "rated_test as (select user_idx, game_idx, rating from test join users using (user_id) join items using (game_title) where rating is not null),\n"
+       + _scored("fit", "rated_test join uf using (user_idx) join vf using (game_idx)", "rating") + """,
+top as (select * from (select *, row_number() over (partition by user_idx order by score desc, game_idx desc) as rank from scored) where rank <= 10),
+cum as (select *, sum(relevant) over (partition by user_idx order by rank) as c from top),
+sizes as (select user_idx, count(*) as n_actual from pos group by user_idx),
+graded as (select user_idx, sum(relevant * c / rank) / any_value(least(n_actual, 10)) as ap, sum(relevant / log2(rank + 1)) as dcg, sum(relevant) as n_hits
+           from cum join sizes using (user_idx) group by user_idx)""", select="""
+select (select count(*) from fit) as n_rows, round((select avg((score - rating) ** 2) from fit), 6) as mse, round(sqrt((select avg((score - rating) ** 2) from fit)), 6) as rmse,
+       round((select 1 - avg((score - rating) ** 2) / var_pop(rating) from fit), 6) as r2, count(*) as n_users, cast(sum(n_hits) as bigint) as n_hits, round(avg(ap), 6) as map_k,
+       round(avg(case when n_hits = 0 then 0 else dcg / list_sum(list_transform(range(1, cast(n_hits + 1 as bigint)), lambda i: 1 / log2(i + 1))) end), 6) as ndcg_k from graded"""))
+def sampled_rank_eval(spark, sf_dir):
+    from relish.plans import sampled
+    users, items, uf, vf = factors(spark, sf_dir)
+    rows = warehouse.ratings(spark, sf_dir)
+    test = materialize(lookup.interactions(rows.where(split.tenths_test(F.col("row_key"))), users, items), "test")
+    row = sampled.evaluate(test, uf, vf, DENSE, items.count(), k=10, negatives=100)
+    return row.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes])
