@@ -6,12 +6,14 @@ can state every number; the training queries report what must hold for a learned
 
 from pyspark.sql import functions as F
 
-from relish.operators import lookup, metrics, ncf, sampling, split
+from relish.operators import cleaning, forest, lookup, metrics, ncf, ncf_train, sampling, split
+from relish.operators.ncf_kernels import flatten
 from relish.operators.order import dense_positions
 from relish.queries import oracle, query
-from relish.queries.joins import BUCKET, ITEMS, SPLIT, USERS, item_ids, user_ids
-from relish.queries.sampling import NEG_CTES, negatives
-from relish.session import materialize
+from relish.queries.cleaning import PREP_CTE
+from relish.queries.joins import ITEMS, SPLIT, USERS, item_ids, user_ids
+from relish.queries.sampling import NEG_CTES
+from relish.session import materialize, scratch_dir
 from relish.sources import warehouse
 
 DIM, HIDDEN = 4, (8, 4)
@@ -159,3 +161,202 @@ def sampled_rank_eval(spark, sf_dir):
     test = materialize(lookup.interactions(rows.where(split.tenths_test(F.col("row_key"))), users, items), "test")
     row = sampled.evaluate(test, uf, vf, DENSE, items.count(), k=10, negatives=100)
     return row.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes])
+
+
+TRAINED = ncf_train.Settings(dim=8, hidden=(16, 8), rounds=2, local_epochs=2, rate=0.01, dropout=0.0, init_scale=0.3, rows_per_bucket=10_000)
+
+
+def train_small(spark, sf_dir):
+    """A small model on the train split of the given ratings."""
+    users, items = user_ids(spark, sf_dir), item_ids(spark, sf_dir)
+    rows = warehouse.ratings(spark, sf_dir)
+    train = lookup.interactions(rows.where(~split.tenths_test(F.col("row_key"))), users, items)
+    return ncf_train.train(train, users.select("user_idx"), items.select("game_idx"), TRAINED)
+
+
+@query("ncf_train", oracle("ratings", "catalog", ctes=f"{USERS},\n{ITEMS}", select="""
+select (select count(*) from users) as n_users, (select count(*) from items) as n_items, 16 as width, 2 as n_rounds, true as loss_fell,
+       (select count(*) from users) + (select count(*) from items) as n_finite"""))
+def ncf_train_query(spark, sf_dir):
+    """Two rounds of distributed training: full factor tables, finite numbers, falling loss."""
+    model = train_small(spark, sf_dir)
+    both = (model.users.select(F.lit("u").alias("side"), F.concat("gmf", "mlp").alias("v"))
+            .unionByName(model.items.select(F.lit("v").alias("side"), F.concat("gmf", "mlp").alias("v"))))
+    finite = F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(1e6)))
+    return both.agg(F.count_if(F.col("side") == "u").alias("n_users"), F.count_if(F.col("side") == "v").alias("n_items"),
+                    F.max(F.size("v")).alias("width"), F.lit(len(model.losses)).alias("n_rounds"),
+                    F.lit(bool(model.losses[-1] < model.losses[0])).alias("loss_fell"), F.count_if(finite).alias("n_finite"))
+
+
+def _mse(rows, users, items):
+    return metrics.regression(ncf.score_pairs(rows, users, items, DENSE, name="predicted")).first()["mse"]
+
+
+@query("ncf_fold_in", oracle("ratings", "catalog", ctes=f"{USERS},\n{ITEMS},\n{SPLIT},\n"
+       "cold as (select user_idx, game_idx from test join users using (user_id) join items using (game_title) where rating is not null)",
+       select="select count(distinct user_idx) as n_users, count(*) as n_ratings, 5 * count(distinct user_idx) as n_recs, true as error_fell from cold"))
+def ncf_fold_in(spark, sf_dir):
+    """Users with only their test ratings as cold-start users: fit their vectors, recommend five items each."""
+    users, items, _, vf = factors(spark, sf_dir)
+    rows = warehouse.ratings(spark, sf_dir)
+    cold = materialize(lookup.interactions(rows.where(split.tenths_test(F.col("row_key"))), users, items), "cold")
+    start = ncf_train.new_vectors(cold.select("user_idx").distinct(), DIM)
+    fitted = materialize(ncf_train.fit_users(cold, start, vf, DENSE, dropout=0.0), "fitted")
+    recs = ncf.top_items(fitted, vf, DENSE, 5)
+    counts = cold.groupBy("user_idx").agg(F.count("*").alias("n"))
+    fell = _mse(cold, fitted, vf) < _mse(cold, start, vf)
+    return (recs.groupBy("user_idx").agg(F.count("*").alias("r")).join(counts, "user_idx")
+                .agg(F.count("*").alias("n_users"), F.sum("n").alias("n_ratings"), F.sum("r").alias("n_recs"), F.lit(bool(fell)).alias("error_fell")))
+
+
+@query("ncf_refresh", oracle("ratings", "catalog", ctes=f"{USERS},\n{ITEMS},\n{SPLIT},\n"
+       "fresh as (select distinct user_idx from test join users using (user_id) join items using (game_title) where rating >= 9)", select="""
+select count(*) as n_users, count(f.user_idx) as n_refreshed, count(*) - count(f.user_idx) as n_unchanged, true as error_fell
+from users u left join fresh f on f.user_idx = u.user_idx"""))
+def ncf_refresh(spark, sf_dir):
+    """High test ratings update their own users' stored vectors and nobody else's."""
+    users, items, uf, vf = factors(spark, sf_dir)
+    rows = warehouse.ratings(spark, sf_dir)
+    liked = rows.where(split.tenths_test(F.col("row_key")) & (F.col("rating") >= 9))
+    fresh = materialize(lookup.interactions(liked, users, items), "fresh")
+    after = materialize(ncf_train.refresh(uf, fresh, vf, DENSE, dropout=0.0), "refreshed")
+    old = uf.select("user_idx", F.col("gmf").alias("old_gmf"), F.col("mlp").alias("old_mlp"))
+    same = (F.col("gmf") == F.col("old_gmf")) & (F.col("mlp") == F.col("old_mlp"))
+    fell = _mse(fresh, after, vf) < _mse(fresh, uf, vf)
+    return after.join(old, "user_idx").agg(F.count("*").alias("n_users"), F.count_if("refreshed").alias("n_refreshed"),
+                                           F.count_if(same).alias("n_unchanged"), F.lit(bool(fell)).alias("error_fell"))
+
+
+ACTIVE = 30  # train ratings a user needs to be known to the model
+ROUTES = f"""{SPLIT},
+known as (select user_id from train group by user_id having count(*) >= {ACTIVE}),
+asks as (select event_id, json_extract_string(body, '$.username') as username, cast(json_extract(body, '$.gameRatings') as map(varchar, integer)) as given from fx_requests),
+routes as (select event_id, username, case when username in (select user_id from known) then 'known'
+  when cardinality(given) > 0 then 'new' else 'none' end as route from asks)"""
+
+
+def routed(spark, sf_dir):
+    from relish.plans import requests as R
+    from relish.plans import routing
+    rows = warehouse.ratings(spark, sf_dir)
+    train = rows.where(~split.tenths_test(F.col("row_key")))
+    known = train.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= ACTIVE).select("user_id")
+    return routing.route(R.parse(warehouse.requests(spark, sf_dir)), known)
+
+
+@query("route_known_or_new", oracle("ratings", "requests", ctes=ROUTES, select="select event_id, username, route from routes"))
+def route_known_or_new(spark, sf_dir):
+    return routed(spark, sf_dir).select("event_id", "username", "route")
+
+
+@query("route_recommend", oracle("ratings", "catalog", "requests", ctes=f"{ROUTES},\n{FACTORS},\n" + _scored("scored", "uf cross join vf", "user_idx, game_idx") + """,
+best as (select *, row_number() over (partition by user_idx order by score desc, game_idx) as rank from scored),
+top as (select user_id, rank, game_title from best join users using (user_idx) join items using (game_idx) where rank <= 5)""", select="""
+select event_id, route, rank, game_title from routes join top on user_id = username where route = 'known'
+union all select event_id, route, unnest(range(1, 6)) as rank, null from routes where route = 'new'"""))
+def route_recommend(spark, sf_dir):
+    """Known users get their stored vectors' top items; new ones are fitted first, their learned titles are not compared."""
+    from relish.plans import routing
+    users, items, uf, vf = factors(spark, sf_dir)
+    recs = routing.recommend(routed(spark, sf_dir), users.join(uf, "user_idx"), items.join(vf, "game_idx"), DENSE, 5, dropout=0.0)
+    shown = F.when(F.col("route") == "known", F.col("game_title"))
+    return recs.select("event_id", "route", "rank", shown.alias("game_title"))
+
+
+# --- random forest -------------------------------------------------------------------
+
+SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
+SMALL_SPACE = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["auto", "sqrt", "0.5"]}
+TITLE_BUCKET = "('0x'||substr(md5(title),1,8))::bigint"
+
+
+def _prepared(spark, sf_dir):
+    rows = materialize(cleaning.prepare_catalog(warehouse.catalog(spark, sf_dir)), "prepared")
+    test = split.tenths_test(F.col("title"))
+    return rows, rows.where(~test), rows.where(test)
+
+
+@query("rf_fit_eval", oracle("catalog", ctes=PREP_CTE, select=f"""
+select count(*) filter (where {TITLE_BUCKET} % 10 >= 2) as n_train, count(*) filter (where {TITLE_BUCKET} % 10 < 2) as n_test, true as in_range, true as has_error from prep"""))
+def rf_fit_eval(spark, sf_dir):
+    """Forest fitted on the train titles; test predictions stay within the train scores."""
+    _, train, test = _prepared(spark, sf_dir)
+    scored = forest.fit(train, **SMALL_FOREST).transform(test)
+    edges = train.agg(F.min("user_score").alias("lo"), F.max("user_score").alias("hi"), F.count("*").alias("n")).first()
+    inside = F.col("predicted_score").between(edges["lo"] - 1e-9, edges["hi"] + 1e-9)
+    rmse = metrics.regression(scored, "user_score", "predicted_score").first()["rmse"]
+    return scored.agg(F.lit(edges["n"]).cast("bigint").alias("n_train"), F.count("*").alias("n_test"), F.bool_and(inside).alias("in_range"),
+                      F.lit(bool(rmse > 0)).alias("has_error"))
+
+
+@query("rf_random_search", oracle("catalog", ctes=PREP_CTE, select=f"""
+select 2 as n_draws, true as errors_positive, count(*) as n_scored from prep where {TITLE_BUCKET} % 10 < 2"""))
+def rf_random_search(spark, sf_dir):
+    """Two random draws, three folds each; the best forest scores the test titles."""
+    _, train, test = _prepared(spark, sf_dir)
+    model, errors = forest.random_search(train, SMALL_SPACE, draws=2, folds=3)
+    return forest.score(model, test).agg(F.lit(len(errors)).alias("n_draws"), F.lit(all(e > 0 for e in errors)).alias("errors_positive"),
+                                         F.count("predicted_score").alias("n_scored"))
+
+
+@query("rf_recommend", oracle("requests", ctes="asks as (select event_id, cast(json_extract(body, '$.games') as varchar[]) as games from fx_requests)",
+                              select="select event_id, 5 as n_recs, 0 as n_liked, true as in_order, true as well_formed from asks"))
+def rf_recommend(spark, sf_dir):
+    """Five best-scored titles per request, none of them liked, scores falling, text as shown to the user."""
+    from relish.plans import requests as R
+    rows, train, _ = _prepared(spark, sf_dir)
+    scores = forest.score(forest.fit(train, **SMALL_FOREST), rows)
+    asks = R.parse(warehouse.requests(spark, sf_dir)).select("event_id", "games")
+    recs = forest.recommend(asks, scores).join(asks, "event_id")
+    shown = F.regexp_extract("description", r"^Predicted Score: (\d+\.\d\d)$", 1)
+    rec = F.struct("rank", F.col("title"), shown.try_cast("double").alias("shown"))
+    lists = recs.groupBy("event_id").agg(F.array_sort(F.collect_list(rec)).alias("r"), F.first("games").alias("games"))
+    liked = F.size(F.array_intersect(F.transform("r", lambda s: s["title"]), F.col("games")))
+    falls = F.forall(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.get("r", i)["shown"] <= F.get("r", i - 1)["shown"])
+    return lists.select("event_id", F.size("r").alias("n_recs"), liked.alias("n_liked"), falls.alias("in_order"),
+                        F.forall("r", lambda s: s["shown"].isNotNull()).alias("well_formed"))
+
+
+@query("model_roundtrip", oracle("catalog", "ratings", ctes=f"{PREP_CTE},\n{USERS},\n{ITEMS}", select=f"""
+select 'forest' as model, count(*) as n_rows, 0 as n_different from prep where {TITLE_BUCKET} % 10 < 2
+union all select 'neural', (select count(*) from users) + (select count(*) from items), 0"""))
+def model_roundtrip(spark, sf_dir):
+    """Saved and loaded models give what the originals give."""
+    from pyspark.ml import PipelineModel
+    _, train, test = _prepared(spark, sf_dir)
+    model, path = forest.fit(train, **SMALL_FOREST), scratch_dir(spark, "forest")
+    model.write().overwrite().save(path)
+    both = forest.score(model, test).join(forest.score(PipelineModel.load(path), test).toDF("title", "again"), "title")
+    tree = both.agg(F.lit("forest").alias("model"), F.count("*").alias("n_rows"),
+                    F.count_if(F.col("predicted_score") != F.col("again")).cast("int").alias("n_different"))
+    _, _, uf, vf = factors(spark, sf_dir)
+    saved, where = ncf_train.Model(uf, vf, DENSE, []), scratch_dir(spark, "neural")
+    saved.save(where)
+    back = ncf_train.Model.load(spark, where)
+    same_layers = bool((flatten(back.dense) == flatten(DENSE)).all())
+
+    def gone(a, b, key):
+        return a.join(b.toDF(key, "g2", "m2"), key).select(((F.col("gmf") != F.col("g2")) | (F.col("mlp") != F.col("m2"))).alias("differs"))
+    rows = gone(uf, back.users, "user_idx").unionByName(gone(vf, back.items, "game_idx"))
+    net = rows.agg(F.lit("neural").alias("model"), F.count("*").alias("n_rows"),
+                   (F.count_if("differs") + F.lit(0 if same_layers else 1)).cast("int").alias("n_different"))
+    return tree.unionByName(net)
+
+
+@query("model_compare", """select * from (values ('naive', true, true, true), ('neural', true, true, true), ('traditional', true, false, true)) as t(model, has_error, has_ranking, in_range)""")
+def model_compare(spark, sf_dir):
+    """One metrics row per recommender; the forest's list has no ranking metric."""
+    from relish.plans import compare, naive, sampled
+    rows = warehouse.ratings(spark, sf_dir)
+    table = materialize(rows.select("row_key", "user_id", "game_title", "rating", split.tenths_test(F.col("row_key")).alias("is_test")), "ratings")
+    users, items = user_ids(spark, sf_dir), item_ids(spark, sf_dir)
+    model = train_small(spark, sf_dir)
+    test = materialize(lookup.interactions(table.where("is_test"), users, items), "test")
+    _, train, held = _prepared(spark, sf_dir)
+    scored = forest.fit(train, **SMALL_FOREST).transform(held)
+    report = compare.report({
+        "naive": naive.evaluate(table, F.col("is_test")),
+        "neural": sampled.evaluate(test, model.users, model.items, model.dense, items.count()),
+        "traditional": metrics.regression(scored, "user_score", "predicted_score")})
+    return report.select("model", (F.col("mse") > 0).alias("has_error"), F.col("map_k").isNotNull().alias("has_ranking"),
+                         (F.coalesce(F.col("map_k").between(0, 1) & F.col("ndcg_k").between(0, 1), F.lit(True)) & (F.col("r2") <= 1)).alias("in_range"))
