@@ -56,17 +56,19 @@ def sample_items_per_key(keys: DataFrame, key: str, k: int, n_items: int, seed:
     return placed.select(key, F.posexplode(picks).alias("draw", "item_idx"))
 
 
-def _spans(seen: DataFrame, key: str, k: int, slack: int, size: int) -> DataFrame:
+def _spots(seen: DataFrame, key: str, k: int, slack: int, size: int, **per_key: Column) -> DataFrame:
     """Per key the positions that can hold its first ``k`` unseen items: k plus what it has seen.
 
-    A key that has seen millions of items is cut into chunks before they are expanded.
+    ``per_key`` columns are computed once per key, before its positions are expanded. A
+    key that has seen millions of items is cut into chunks first, which spread out.
     """
     upto = F.least(F.lit(k) + F.lit(slack) + F.col("_n"), F.lit(size))
-    spans = (seen.groupBy(key).agg(F.count("*").alias("_n")).select(key, upto.alias("_upto"))
-                 .select(key, "_upto", F.explode(F.sequence(F.lit(0), F.floor((F.col("_upto") - 1) / _CHUNK))).alias("_chunk"))
+    spans = (seen.groupBy(key).agg(F.count("*").alias("_n"))
+                 .select(key, upto.alias("_upto"), *[c.alias(n) for n, c in per_key.items()])
+                 .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_upto") - 1) / _CHUNK))))
                  .repartition(F.col(key), F.col("_chunk")))
     last = F.least((F.col("_chunk") + 1) * _CHUNK, F.col("_upto")) - 1
-    return spans.select(key, F.explode(F.sequence(F.col("_chunk") * _CHUNK, last)).alias("pos"))
+    return spans.select(key, *per_key, F.explode(F.sequence(F.col("_chunk") * _CHUNK, last)).alias("pos"))
 
 
 def first_unseen(seen: DataFrame, key: str, item: str, k: int, n_items: int, order: Shuffle | None = None) -> DataFrame:
@@ -78,11 +80,10 @@ def first_unseen(seen: DataFrame, key: str, item: str, k: int, n_items: int, ord
     of them can fall out. The rank window keeps k rows per key before it shuffles.
     """
     if order is None:
-        spots = _spans(seen, key, k, 0, n_items).withColumn(item, F.col("pos"))
+        spots = _spots(seen, key, k, 0, n_items).withColumn(item, F.col("pos"))
     else:
-        spans = _spans(seen, key, k, order.gap, order.p)
-        spots = spans.withColumn(item, order.item(order.start(F.col(key)), order.stride(F.col(key)), F.col("pos")))
-        spots = spots.where(F.col(item) < n_items)
+        spots = _spots(seen, key, k, order.gap, order.p, _a=order.start(F.col(key)), _b=order.stride(F.col(key)))
+        spots = spots.select(key, "pos", order.item(F.col("_a"), F.col("_b"), F.col("pos")).alias(item)).where(F.col(item) < n_items)
     free = spots.join(seen.select(key, item), [key, item], "left_anti")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     return free.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).drop("pos")

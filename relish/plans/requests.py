@@ -79,16 +79,24 @@ def format_naive(picks: DataFrame, key: str) -> DataFrame:
                         F.concat(reason(F.col("target"), title), F.lit(": "), generated_description(title)).alias("description"))
 
 
+def naive_lists(targets: DataFrame, means: DataFrame, size: int = 5) -> DataFrame:
+    """``(target, recs)``: the formatted picks of every distinct target title as one short list."""
+    picks = popularity.variety_picks(targets.where("target is not null").select("target").distinct(), means, size)
+    rows = format_naive(picks, "target").groupBy("target").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "title", "description"))).alias("_made"))
+    return rows.select("target", F.transform("_made", lambda s: F.struct(
+        s["title"].alias("title"), s["description"].alias("description"))).alias("recs"))
+
+
 def answer_naive(requests: DataFrame, means: DataFrame, key: str = "event_id", size: int = 5) -> DataFrame:
-    """Exactly ``size`` rows per request from its first game; defaults when it names none."""
+    """Exactly ``size`` rows per request from its first game; defaults when it names none.
+
+    A title is worked out once however many requests name it.
+    """
     asked = requests.select(key, F.get("games", 0).alias("target"))
-    picks = popularity.variety_picks(asked.where("target is not null"), means, size)
-    made = (format_naive(picks, key).groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "title", "description"))).alias("_made")))
-    rows = asked.join(made, key, "left").withColumn(
-        "_recs", F.transform("_made", lambda s: F.struct(s["title"].alias("title"), s["description"].alias("description"))))
+    rows = asked.join(naive_lists(asked, means, size), "target", "left")
     fill = F.concat(texts([wording.COMING_SOON]), texts(wording.GENERIC))
-    found = F.coalesce("_recs", F.array().cast("array<struct<title:string,description:string>>"))
+    found = F.coalesce("recs", F.array().cast("array<struct<title:string,description:string>>"))
     answer = F.when(F.col("target").isNull(), texts(wording.NO_GAMES)).otherwise(padded(found, fill, size))
     return numbered(rows.select(key, F.slice(answer, 1, size).alias("_answer")), key, "_answer")
 
@@ -114,16 +122,15 @@ def answer_traditional(requests: DataFrame, scores: DataFrame, key: str = "event
 def dispatch(requests: DataFrame, means: DataFrame, scores: DataFrame, items: DataFrame, key: str = "event_id") -> DataFrame:
     """``(key, model_used, id, title, description)`` for parsed requests, each branch answered as a set."""
     named, unnamed = requests.where(F.size("games") > 0), requests.where(F.size("games") == 0)
-
-    def branch(model: str) -> DataFrame:
-        return named.where(F.col("model_type") == model)
-
-    defaults = numbered(unnamed.select(key, texts(wording.DISPATCH_DEFAULTS).alias("_answer")), key, "_answer")
-    answers = (answer_naive(branch("Naive"), means, key)
-               .unionByName(answer_vector(branch("Deep Learning"), items, key))
-               .unionByName(answer_traditional(branch("Traditional"), scores, key))
-               .unionByName(defaults))
-    return answers.join(requests.select(key, F.col("model_type").alias("model_used")), key)
+    branches = {"Naive": lambda rows: answer_naive(rows, means, key),
+                "Deep Learning": lambda rows: answer_vector(rows, items, key),
+                "Traditional": lambda rows: answer_traditional(rows, scores, key)}
+    answers = unnamed.select(key, F.col("model_type").alias("model_used"), F.posexplode(texts(wording.DISPATCH_DEFAULTS)).alias("_i", "_s")).select(
+        key, "model_used", (F.col("_i") + 1).cast("bigint").alias("id"), "_s.title", "_s.description")
+    for model, answer in branches.items():
+        rows = answer(named.where(F.col("model_type") == model))
+        answers = answers.unionByName(rows.withColumn("model_used", F.lit(model)))
+    return answers
 
 
 def responses(answers: DataFrame, key: str = "event_id") -> DataFrame:

@@ -113,7 +113,8 @@ select event_id, id as rank, title, description from req join naive_rows on targ
 def rec_format(spark, sf_dir):
     means = popularity.item_means(warehouse.ratings(spark, sf_dir))
     asked = parsed(spark, sf_dir).where(F.size("games") > 0).select("event_id", F.get("games", 0).alias("target"))
-    return R.format_naive(popularity.variety_picks(asked, means, 5), "event_id")
+    lists = asked.join(R.naive_lists(asked, means), "target")
+    return R.numbered(lists, "event_id", "recs").withColumnRenamed("id", "rank")
 
 
 NAIVE_ANSWER = f"""
