@@ -72,7 +72,7 @@ def write_titles(titles: DataFrame, path: str, column: str = "title") -> str:
 
 def read_mapping(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """Key-to-index objects as ``(key, idx)`` rows; ``whole_file`` for one object over many lines."""
-    text = spark.read.option("wholetext", whole_file).text(path)
+    text = spark.read.text(path, wholetext=whole_file)
     return text.select(F.explode(F.from_json("value", schemas.MAPPING)).alias("key", "idx"))
 
 
