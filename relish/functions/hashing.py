@@ -19,6 +19,13 @@ def hex32(digest: Column, start: int = 1) -> Column:
     return F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
 
 
+def hash_below(n: int, *parts: Column | str) -> Column:
+    """A number 0 .. n-1; 60 hash bits instead of 32 when n needs them."""
+    digits = 8 if n < 1 << 31 else 15
+    digest = F.md5(F.concat_ws("|", *parts))
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint") % F.lit(n)
+
+
 def bucket(key: Column, buckets: int) -> Column:
     """Hash bucket of a key, 0 .. buckets-1."""
     return hex32(F.md5(key)) % F.lit(buckets)

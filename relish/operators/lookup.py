@@ -30,7 +30,13 @@ def interactions(ratings: DataFrame, users: DataFrame, items: DataFrame) -> Data
 
 def unlike(rows: DataFrame, liked: DataFrame, title: str = "title") -> DataFrame:
     """Rows whose exact title was not liked."""
-    return rows.join(liked, title, "left_anti")
+    return rows.join(liked.select(title).distinct(), title, "left_anti")
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs in ``keys``. The keys are made distinct before they are
+    shuffled, so one that fills a third of its table arrives once per partition."""
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def title_key(column: Column) -> Column:

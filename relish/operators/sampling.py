@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from relish.functions.hashing import hash32
+from relish.functions.hashing import hash_below
 
 _CHUNK = 65_536           # positions one generated row may expand to
 _BIGINT_SAFE = 3_037_000_499  # products of two smaller numbers fit in 64 bits
@@ -32,10 +32,10 @@ class Shuffle:
         self.number = "bigint" if self.p < _BIGINT_SAFE else "decimal(38,0)"
 
     def start(self, key: Column) -> Column:
-        return hash32(F.lit(f"{self.seed}a"), key) % F.lit(self.p)
+        return hash_below(self.p, F.lit(f"{self.seed}a"), key)
 
     def stride(self, key: Column) -> Column:
-        return F.lit(1) + hash32(F.lit(f"{self.seed}b"), key) % F.lit(max(self.p - 1, 1))
+        return F.lit(1) + hash_below(max(self.p - 1, 1), F.lit(f"{self.seed}b"), key)
 
     def item(self, start: Column, stride: Column, position: Column) -> Column:
         return ((start + stride.cast(self.number) * position.cast(self.number)) % F.lit(self.p)).cast("bigint")
@@ -91,4 +91,4 @@ def first_unseen(seen: DataFrame, key: str, item: str, k: int, n_items: int, ord
 
 def random_negative(key: Column, epoch: int, n_items: int) -> Column:
     """One uniform item index per row and epoch; it may hit a positive."""
-    return hash32(F.lit("neg"), F.lit(epoch).cast("string"), key) % F.lit(n_items)
+    return hash_below(n_items, F.lit("neg"), F.lit(epoch).cast("string"), key)

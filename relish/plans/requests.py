@@ -10,6 +10,7 @@ from relish import schemas
 from relish.functions import text, wording
 from relish.functions.hashing import hash32
 from relish.operators import forest, popularity, similarity
+from relish.session import materialize
 
 Texts = Sequence[tuple[str, str]]
 
@@ -120,7 +121,12 @@ def answer_traditional(requests: DataFrame, scores: DataFrame, key: str = "event
 
 
 def dispatch(requests: DataFrame, means: DataFrame, scores: DataFrame, items: DataFrame, key: str = "event_id") -> DataFrame:
-    """``(key, model_used, id, title, description)`` for parsed requests, each branch answered as a set."""
+    """``(key, model_used, id, title, description)`` for parsed requests, each branch answered as a set.
+
+    The parsed columns are written once: the branches pass over them several times, and a
+    body is not parsed again for each.
+    """
+    requests = materialize(requests.select(key, "model_type", "games", "gameRatings"), "requests")
     named, unnamed = requests.where(F.size("games") > 0), requests.where(F.size("games") == 0)
     branches = {"Naive": lambda rows: answer_naive(rows, means, key),
                 "Deep Learning": lambda rows: answer_vector(rows, items, key),

@@ -69,7 +69,7 @@ def interactions_prep(spark, sf_dir):
 def semi_train_users(spark, sf_dir):
     rows = warehouse.ratings(spark, sf_dir).select("row_key", "user_id")
     test = split.tenths_test(F.col("row_key"))
-    return rows.where(test).join(rows.where(~test).select("user_id"), "user_id", "left_semi").select("row_key", "user_id")
+    return lookup.only_keys(rows.where(test), rows.where(~test), "user_id").select("row_key", "user_id")
 
 
 @query("predict_item_mean", oracle("ratings", ctes=f"""{SPLIT},
@@ -89,7 +89,7 @@ def anti_seen(spark, sf_dir):
     rows = warehouse.ratings(spark, sf_dir).select("row_key", "user_id", "game_title")
     test = split.tenths_test(F.col("row_key"))
     pairs = ["user_id", "game_title"]
-    return rows.where(test).select(pairs).join(rows.where(~test).select(pairs), pairs, "left_anti").distinct()
+    return rows.where(test).select(pairs).distinct().join(rows.where(~test).select(pairs).distinct(), pairs, "left_anti")
 
 
 @query("anti_liked", oracle("catalog", "requests", ctes=LIKED, select="select title from fx_catalog where title not in (select title from liked)"))

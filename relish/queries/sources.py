@@ -91,7 +91,7 @@ def sink_csv_roundtrip(spark, sf_dir):
     rows = warehouse.ratings(spark, sf_dir)
     test = split.tenths_test(F.col("row_key"))
     train = rows.where(~test)
-    held = rows.where(test).join(train.select("user_id"), "user_id", "left_semi")
+    held = lookup.only_keys(rows.where(test), train, "user_id")
     parts = {name: files.write_csv(part.select("user_id", "game_title", "rating"), scratch_dir(spark, name)) for name, part in (("train", train), ("test", held))}
     back = [_round(files.read_ratings(spark, p)).select(F.lit(name).alias("part"), "*") for name, p in parts.items()]
     return back[0].unionByName(back[1])
