@@ -172,7 +172,7 @@ def train_small(spark, sf_dir):
     users, items = user_ids(spark, sf_dir), item_ids(spark, sf_dir)
     rows = warehouse.ratings(spark, sf_dir)
     train = lookup.interactions(rows.where(~split.tenths_test(F.col("row_key"))), users, items)
-    return ncf_train.train(train, users.select("user_idx"), items.select("game_idx"), TRAINED)
+    return ncf_train.train(materialize(train, "train"), users.select("user_idx"), items.select("game_idx"), TRAINED)
 
 
 @query("ncf_train", oracle("ratings", "catalog", ctes=f"{USERS},\n{ITEMS}", select="""

@@ -19,6 +19,8 @@ def build_session(app: str = "relish", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # one thread per Python worker: Spark already runs a worker per core
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,

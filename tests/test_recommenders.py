@@ -87,7 +87,7 @@ def asked(spark, *bodies):
 
 def test_profile_is_the_weighted_mean(spark):
     rows = asked(spark, {"games": ["A", "b", "nope"], "gameRatings": {"A": 10}}, {"games": ["a"], "gameRatings": {"a": 0}})
-    got = similarity.profiles(similarity.owned_titles(rows, "event_id"), items(spark), "event_id").collect()
+    got = similarity.profiles(similarity.owned_titles(rows, "event_id"), items(spark), "event_id", 2).collect()
     assert [(r["event_id"], r["n_known"]) for r in got] == [(0, 2)]
     assert np.allclose(got[0]["vec"], [10 / 15, 5 / 15])
 
