@@ -48,7 +48,10 @@ def parse_platforms(literal: Column) -> Column:
 
 
 def platform_scores(platforms: Column) -> Column:
-    """``map<platform, score>``: a non-digit score counts 0, the last entry of a name wins."""
+    """``map<platform, score>``: a non-digit score counts 0, the last entry of a name wins.
+
+    Pass a parsed column, not the parsing expression: lambdas would parse per entry.
+    """
     last = F.filter(platforms, lambda e, i: ~F.exists(
         F.slice(platforms, i + 2, F.size(platforms)), lambda later: later["platform"] == e["platform"]))
     return F.map_from_entries(F.transform(last, lambda e: F.struct(
@@ -64,9 +67,8 @@ def parse_year(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
 def title_case(text: Column) -> Column:
     """Upper-case every letter that does not follow a letter, lower-case the others."""
     chars = F.split(text, "")
-    letter = r"\p{L}"
-    return F.array_join(F.transform(chars, lambda c, i: F.when(
-        (i > 0) & F.coalesce(F.get(chars, i - 1).rlike(letter), F.lit(False)), F.lower(c)).otherwise(F.upper(c))), "")
+    before = F.concat(F.array(F.lit("")), F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))))
+    return F.array_join(F.zip_with(chars, before, lambda c, b: F.when(b.rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c))), "")
 
 
 def shorten_title(title: Column, limit: int = 25) -> Column:

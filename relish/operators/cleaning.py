@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relish.functions import text
 from relish.operators.order import exact_median
+from relish.session import materialize
 
 MAX_COLUMNS = 10_000  # the widest table a pivot may produce, as Spark's own pivot limit
 
@@ -52,15 +53,21 @@ def widen_list(df: DataFrame, items: str, prefix: str) -> DataFrame:
     return df.select("*", *[F.array_contains(items, k).cast("int").alias(prefix + k) for k in keys])
 
 
+def with_platform_scores(df: DataFrame, literal: str, name: str) -> DataFrame:
+    """Add the platform score map of a literal column, parsed once per row."""
+    parsed = df.withColumn("_parsed", text.parse_platforms(F.col(literal)))
+    return parsed.withColumn(name, text.platform_scores(F.col("_parsed"))).drop("_parsed")
+
+
 def clean_catalog(catalog: DataFrame) -> DataFrame:
     """Cleaned catalog for the neural recommender: fills, year, median score, wide genres and platforms."""
-    base = fill_catalog(catalog).select(
+    base = with_platform_scores(fill_catalog(catalog), "platforms_info", "_platforms").select(
         "title", "release_date", "product_rating", "publisher", "developer",
         F.coalesce(text.parse_year(F.col("release_date")), F.lit(0)).alias("release_year"),
         coerce_number(F.col("user_score")).alias("user_score"), "user_ratings_count",
         text.clean_genres(F.col("genres")).alias("_genres"),
-        text.platform_scores(text.parse_platforms(F.col("platforms_info"))).alias("_platforms"))
-    filled = impute_median(base, "user_score")
+        "_platforms")
+    filled = impute_median(materialize(base, "catalog"), "user_score")  # the passes below read it several times
     wide = widen_map(widen_list(filled, "_genres", "genre_"), "_platforms", "platform_")
     return wide.drop("_genres", "_platforms")
 

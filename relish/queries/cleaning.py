@@ -131,16 +131,16 @@ def platform_parse(spark, sf_dir):
 
 @query("platform_map", oracle("catalog", ctes=PLATFORM_ROWS, select="select title, platform, score from plat_scores"))
 def platform_map(spark, sf_dir):
-    scores = text.platform_scores(text.parse_platforms(F.col("platforms_info")))
-    return warehouse.catalog(spark, sf_dir).select("title", F.explode(scores).alias("platform", "score"))
+    rows = cleaning.with_platform_scores(warehouse.catalog(spark, sf_dir), "platforms_info", "m")
+    return rows.select("title", F.explode("m").alias("platform", "score"))
 
 
 @query("platform_pivot", oracle("catalog", ctes=PLATFORM_ROWS, select="select c.title, "
        + ", ".join(f"cast(coalesce(max(score) filter (where platform = '{p}'), 0) as integer) as \"platform_{p}\"" for p in PLATFORMS)
        + " from fx_catalog c left join plat_scores p on p.title = c.title group by c.title"))
 def platform_pivot(spark, sf_dir):
-    scores = text.platform_scores(text.parse_platforms(F.col("platforms_info")))
-    return cleaning.widen_map(warehouse.catalog(spark, sf_dir).select("title", scores.alias("m")), "m", "platform_").drop("m")
+    rows = cleaning.with_platform_scores(warehouse.catalog(spark, sf_dir), "platforms_info", "m").select("title", "m")
+    return cleaning.widen_map(rows, "m", "platform_").drop("m")
 
 
 @query("bucket_other", oracle("catalog", ctes="top as (select publisher from fx_catalog where publisher is not null group by publisher order by count(*) desc, publisher limit 20)",

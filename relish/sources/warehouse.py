@@ -66,6 +66,7 @@ VIEWS = {
     "item_vectors": ITEM_VECTORS_VIEW,
     "reviews": REVIEWS_VIEW,
 }
+_MAIN_TABLE = {"ratings": "lineitem", "reviews": "lineitem", "catalog": "part", "requests": "events", "item_vectors": "embeddings"}
 _TABLES = ("lineitem", "orders", "part", "events", "embeddings")
 
 
@@ -86,9 +87,8 @@ def spread(df: DataFrame) -> DataFrame:
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if "{" + t + "}" in text}
-    for fact in ("lineitem", "events"):
-        if fact in tables:
-            tables[fact] = spread(tables[fact])
+    main = _MAIN_TABLE[name]
+    tables[main] = spread(tables[main])
     return spark.sql(text, **tables)
 
 
