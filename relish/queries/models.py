@@ -70,9 +70,10 @@ def rated(spark, sf_dir, users=None, items=None):
 
 
 def factors(spark, sf_dir):
+    """Indexes and stored factor tables."""
     users, items = user_ids(spark, sf_dir), item_ids(spark, sf_dir)
-    return (users, items, ncf.hash_factors(users.select("user_idx"), "user_idx", "u", DIM),
-            ncf.hash_factors(items.select("game_idx"), "game_idx", "v", DIM))
+    return (users, items, materialize(ncf.hash_factors(users.select("user_idx"), "user_idx", "u", DIM), "user-factors"),
+            materialize(ncf.hash_factors(items.select("game_idx"), "game_idx", "v", DIM), "item-factors"))
 
 
 @query("factor_join", oracle("ratings", "catalog", ctes=f"{FACTORS},\n{RATED}", select="select row_key, round("
