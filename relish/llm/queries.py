@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from relish.llm import decontaminate, line_dedup, packing, preferences, revisits, rule_ensemble, winnowing
+from relish.llm import decontaminate, line_dedup, packing, preferences, revisits, rule_ensemble, suffix_dedup, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,3 +164,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_site_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated 100-byte strings."""
+    found = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
