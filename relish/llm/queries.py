@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from relish.llm import decontaminate, line_dedup, packing, preferences, revisits, rule_ensemble, suffix_dedup, winnowing
+from relish.llm import decontaminate, jaccard_join, line_dedup, packing, preferences, revisits, rule_ensemble, suffix_dedup, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op4_harmonic_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
