@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from relish.llm import decontaminate, jaccard_join, line_dedup, packing, preferences, revisits, rule_ensemble, suffix_dedup, winnowing
+from relish.llm import ctw_scoring, decontaminate, jaccard_join, line_dedup, packing, preferences, revisits, rule_ensemble, suffix_dedup, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_context_tree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every document by a model of the corpus."""
+    return ctw_scoring.score_corpus(table(spark, sf_dir, "documents")).withColumn(
+        "bits_per_byte", -F.col("score") / ((F.col("n_bytes") + 1) * F.log10(F.lit(2.0))))
+
+
 @query("op2_rule_ensemble")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
