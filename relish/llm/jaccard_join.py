@@ -110,6 +110,16 @@ def _index(ranked: DataFrame, percent: int, frequent: int) -> DataFrame:
     return singles.unionByName(chains).select("set_id", "n", "kind", F.col("key.token").alias("gram"), F.col("key.place").alias("place"))
 
 
+def _without_twins(index: DataFrame) -> DataFrame:
+    """The index with one key of those that hold the same sets: the first in order, which no common token precedes.
+
+    Keys of one set go.  A small group of near copies shares hundreds of tokens, and is then met under one key.
+    """
+    keys = index.groupBy("kind", "gram").agg(F.count("*").alias("m"), F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("who"), F.min("place").alias("place"))
+    kept = keys.filter("m > 1").groupBy("kind", "m", "who").agg(F.min(F.struct("place", "gram")).alias("first")).select("kind", F.col("first.gram").alias("gram"))
+    return index.join(kept, ["kind", "gram"], "left_semi")
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Bounds on size and, if the key is the pair's first common token, on what can follow it."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -147,15 +157,20 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             labels = components(tested.filter("linked"))
 
     entry = F.struct("set_id", "n", "place", "label")
+    before = float("inf")
     for turn in range(LEADER_ROUNDS):
         open_keys = materialize(labelled(), "open_keys")
         # pairs of different groups under one key, against the number of entries
         sizes = open_keys.groupBy("kind", "gram", "label").agg(F.count("*").alias("m")).groupBy("kind", "gram").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner"))
         entries, cross = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2), F.lit(0.0))).first()
-        if cross <= 4 * entries:
+        if cross <= entries / 2 or cross > 0.7 * before:  # leaders no longer settle much
             break
-        first = F.first(entry).over(Window.partitionBy("kind", "gram").orderBy(F.xxhash64("set_id", F.lit(turn)), "set_id"))
-        led = open_keys.select("kind", entry.alias("x"), first.alias("y"))
+        before = cross
+        # at first one leader for all keys, as far as they share it; then a member of each key's largest group, another for each key
+        largest = F.count("*").over(Window.partitionBy("kind", "gram", "label")) if turn else F.lit(1)
+        by = [F.desc("size"), F.xxhash64("set_id", "gram", F.lit(turn))] if turn else [F.xxhash64("set_id")]
+        first = F.first(entry).over(Window.partitionBy("kind", "gram").orderBy(*by, "set_id"))
+        led = open_keys.withColumn("size", largest).select("kind", entry.alias("x"), first.alias("y"))
         test(led.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)))
     rest = materialize(labelled(), "open_keys")
     left, right = rest.select("kind", "gram", entry.alias("x")), rest.select("kind", "gram", entry.alias("y"))
@@ -179,7 +194,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     wanted = slim.join(survivors.select(F.col("doc_id").alias("wanted")), F.col("doc_id") == F.col("wanted"), "left_semi")
     sets = materialize(wanted.mapInArrow(_sets(shingle, percent, True), f"doc_id {kind}, set_id long, n long, tokens array<long>")
                        .filter(F.size("tokens") > 0).select("set_id", "n", "tokens").dropDuplicates(["set_id"]), "sets")
-    index = materialize(_index(materialize(_ranked(sets), "ranked"), percent, frequent), "index")
+    index = materialize(_without_twins(materialize(_index(_ranked(sets), percent, frequent), "keys")), "index")
     links = _links(index, sets, percent)
 
     full = members.filter("n > 0 and doc_id is not null")
