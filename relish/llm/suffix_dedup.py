@@ -62,23 +62,34 @@ def _signed(hashes: np.ndarray) -> pa.Array:
     return pa.array(hashes.view(np.int64))
 
 
+def _batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows of the first pass.  Of equal runs at hand only the earliest has to be compared with others; the rest are
+    ``known`` to repeat it and get an anchor of their own, so that no anchor gathers the rows of a hot text."""
+    anchor, whole, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, doc, whole, anchor))
+    same = (anchor[order][1:] == anchor[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    known = np.zeros(len(anchor), dtype=bool)
+    known[order[1:][same]] = True
+    spread = texthash.mix(doc.astype(U64) * U64(0x9E3779B97F4A7C15) ^ place.astype(U64))
+    return pa.RecordBatch.from_arrays([_signed(np.where(known, spread, anchor)), _signed(whole), pa.array(doc), pa.array(place), pa.array(known)],
+                                      names=["anchor", "whole", "doc", "place", "known"])
+
+
 def _first_digits(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
             ids, twins = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts: list[tuple[np.ndarray, ...]] = []
-            held = 0
             for row, data in enumerate(arrowtext.texts(batch, "text")):
                 for anchor, whole, start, count in runs(np.frombuffer(data, dtype=np.uint8), length, gram):
                     parts.append((anchor, whole, np.full(len(start), ids[row]), (twins[row] << TWIN_BITS) | (start << START_BITS) | count))
                     held += len(start)
-                if held > 200_000 or (parts and row == batch.num_rows - 1):
-                    anchor, whole, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(whole), pa.array(doc), pa.array(place)], names=["anchor", "whole", "doc", "place"])
+                if held > 500_000:
+                    yield _batch(parts)
                     parts, held = [], 0
-            if parts:
-                anchor, whole, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(whole), pa.array(doc), pa.array(place)], names=["anchor", "whole", "doc", "place"])
+        if parts:
+            yield _batch(parts)
     return run
 
 
@@ -146,10 +157,11 @@ def _with_places(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 def repeated(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """``doc, place`` of every run or window of which all bytes stand in an earlier text or place too."""
-    first = keyed.select("doc", "twin", "text").mapInArrow(_first_digits(length, gram), "anchor long, whole long, doc long, place long")
+    first = keyed.select("doc", "twin", "text").mapInArrow(_first_digits(length, gram), "anchor long, whole long, doc long, place long, known boolean")
     group, order = Window.partitionBy("anchor"), Window.partitionBy("anchor").orderBy("whole", "doc", "place")
-    ranked = first.select("doc", "place", (F.lag("whole").over(order) == F.col("whole")).alias("again"), (F.min("whole").over(group) != F.max("whole").over(group)).alias("mixed"))
-    left = materialize(ranked.select("doc", "place", F.coalesce("again", F.lit(False)).alias("again"), "mixed").filter("again or mixed"), "runs")
+    again = F.col("known") | F.coalesce(F.lag("whole").over(order) == F.col("whole"), F.lit(False))
+    ranked = first.select("doc", "place", again.alias("again"), (F.min("whole").over(group) != F.max("whole").over(group)).alias("mixed"))
+    left = materialize(ranked.select("doc", "place", "again", "mixed").filter("again or mixed"), "runs")
     heads = left.filter("not again").select("doc", "place")
     last = _with_places(keyed, heads, "inner").select("doc", "twin", "text", "places").mapInArrow(_last_digit(length), "digit long, doc long, place long")
     within = Window.partitionBy("digit").orderBy("doc", "place")
