@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from relish.session import materialize
 
-#: spellings a task keeps the ids of; beyond that it starts anew
-KEPT_WORDS = 300_000
+#: spellings a worker keeps the ids of, over all tasks it runs; beyond that it starts anew
+KEPT_WORDS = 800_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, task int, place long"
 
 
@@ -58,16 +58,25 @@ def token_ids(texts: list[str], encode: Callable[[list[str]], list[list[int]]],
         yield b"".join([known[w] for w in parts])
 
 
-def _pieces(tokenizer: str, end_id: int, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_loaded: dict[str, tuple[Callable[[list[str]], list[list[int]]], dict[str, bytes]]] = {}
+
+
+def _encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str, bytes]]:
+    """The tokenizer and the words known so far, once for each worker."""
+    if path not in _loaded:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        encode = lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]
-        known: dict[str, bytes] = {}
+        model = Tokenizer.from_file(path)
+        _loaded[path] = (lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]), {}
+    return _loaded[path]
+
+
+def _pieces(tokenizer: str, end_id: int, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known = _encoder(tokenizer)
         end, task, placed = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int, int]] = []
