@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from relish.operators import metrics, popularity, split
+from relish.operators import lookup, metrics, popularity, split
 from relish.operators.order import dense_positions
 from relish.plans import naive
 from relish.queries import oracle, query
@@ -79,8 +79,8 @@ truth as (select distinct user_id, game_title from test),
 hits as (select t.*, case when h.user_id is null then 0 else 1 end as hit from top t left join truth h on h.user_id = t.user_id and h.game_title = t.game_title),
 cum as (select *, sum(hit) over (partition by user_id order by rank) as c from hits),
 sizes as (select user_id, count(*) as n_actual from test group by user_id),
-users as (select user_id, any_value(n_actual) as n_actual, sum(hit) as n_hits, sum(hit * c / cast(rank as double)) / any_value(least(n_actual, 10)) as ap,
-          sum(hit / log2(rank + 1)) as dcg from cum join sizes using (user_id) group by user_id),
+users as (select s.user_id, any_value(n_actual) as n_actual, coalesce(sum(hit), 0) as n_hits, coalesce(sum(hit * c / cast(rank as double)), 0) / any_value(least(n_actual, 10)) as ap,
+          coalesce(sum(hit / log2(rank + 1)), 0) as dcg from sizes s join eligible e on e.user_id = s.user_id left join cum on cum.user_id = s.user_id group by s.user_id),
 graded as (select *, case when n_hits = 0 then 0.0 else dcg / list_sum(list_transform(range(1, cast(n_hits + 1 as bigint)), lambda i: 1 / log2(i + 1))) end as ndcg from users)"""
 
 
@@ -99,7 +99,7 @@ def naive_topk_per_user(spark, sf_dir):
 def _per_user(spark, sf_dir):
     rows = _split_ratings(spark, sf_dir)
     top = naive.topk_per_user(rows, F.col("is_test"), 10)
-    return metrics.per_user(top, rows.where("is_test"), 10, "user_id", "game_title")
+    return metrics.per_user(top, lookup.only_keys(rows.where("is_test"), rows.where("not is_test"), "user_id"), 10, "user_id", "game_title")
 
 
 @query("map_at_k", oracle("ratings", ctes=RANK_CTES, select="select user_id, cast(n_actual as bigint) as n_actual, cast(n_hits as bigint) as n_hits, round(ap, 6) as ap from graded"))
