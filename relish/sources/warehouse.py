@@ -42,9 +42,9 @@ select event_id, ts, props,
        concat('{{"action":"sendUserData","username":"user', user_id, '","modelType":"',
               case event_type when 'click' then 'Naive' when 'view' then 'Deep Learning' when 'purchase' then 'Traditional' when 'signup' then '' else 'Bogus' end,
               '","games":["', a.title, '","', b.title, '"],"gameRatings":{{"', a.title, '":', 1 + event_id % 10, '}},"_retryCount":', event_id % 6, '}}') as body
-from (select *, cast(replace(split_part(props, ':', 2), '}}', '') as bigint) as k from {events}) e
+from (select *, (select count(*) from {part}) as n_parts, cast(replace(split_part(props, ':', 2), '}}', '') as bigint) as k from {events}) e
 join (select p_partkey, concat(p_name, ' ', p_partkey) as title from {part}) a on a.p_partkey = e.k
-join (select p_partkey, concat(p_name, ' ', p_partkey) as title from {part}) b on b.p_partkey = (e.k + event_id) % 200
+join (select p_partkey, concat(p_name, ' ', p_partkey) as title from {part}) b on b.p_partkey = (e.k + event_id) % e.n_parts
 """
 
 ITEM_VECTORS_VIEW = """
