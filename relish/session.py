@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_base: str | None = None
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "relish", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,7 +34,34 @@ def build_session(app: str = "relish", master: str | None = None, **conf: str) -
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, once a session.
+
+    Functions are pickled by name, so a worker has to import the package wherever the driver was started.  The
+    archive lies with the driver, which serves it to the executors; it goes when the driver ends.
+    """
+    if spark.sparkContext.applicationId not in _shipped:
+        package = pathlib.Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="relish-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/{package.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for module in sorted(package.rglob("*.py")):
+                out.write(module, module.relative_to(package.parent))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(spark.sparkContext.applicationId)
+    return spark
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package on the workers of whichever session it is given."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(ship(spark), sf_dir)
+    return run
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
