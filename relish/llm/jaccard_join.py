@@ -12,8 +12,9 @@ So in any one order of all tokens, their first ``n - ceil(percent * n / 100) + k
    tokens then stand side by side in both sets, and these 2-token combinations are indexed.
 
 Sets under one key are candidates.  As links make groups, each round verifies candidates against one leader of a key only
-and joins groups; pairs that still belong to different groups at the end are all verified.  Verifying counts the common
-tokens of the whole sets.  Sets and tokens are 64-bit hashes.
+and joins groups; pairs that still belong to different groups at the end are all verified.  Before that, each set's
+parities bound a pair from below: of 512 classes of tokens, those of which the two sets hold an odd and an even number have
+a token of one side alone.  Verifying counts the common tokens of the whole sets.  Sets and tokens are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from relish.session import materialize
 
 #: rounds of leaders before the remaining pairs are verified one and all
 LEADER_ROUNDS = 8
+#: 64-bit words of a set's parities
+PARITY_WORDS = 8
 
 
 def needed(n, percent: int):
@@ -47,12 +50,21 @@ def _set_id(tokens: np.ndarray) -> int:
     return int(texthash.mix(np.array([texthash.mix(tokens ^ at).sum() + np.uint64(len(tokens))], dtype=np.uint64))[0].view(np.int64))
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """For each class of tokens, whether the set holds an odd number of it; as ``PARITY_WORDS`` longs."""
+    odd = np.bincount((tokens & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(shingle: int, percent: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Set id, size and tokens: all of them, or the extended prefix in order of hash, once for each set and task."""
+    """Set id, size, parities and tokens: all of them, or the extended prefix in order of hash, once for each set and task.
+
+    Parities come with whole sets only.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids, sizes, tokens = [], [], []
+            ids, sizes, tokens, odd = [], [], [], []
             if len(seen) > 1_000_000:
                 seen.clear()
             for data in arrowtext.texts(batch, "text"):
@@ -62,9 +74,14 @@ def _sets(shingle: int, percent: int, whole: bool) -> Callable[[Iterator[pa.Reco
                 sizes.append(n)
                 p = plain_prefix(n, percent)
                 tokens.append((found if whole else found[: p + p // 2]).view(np.int64) if n and own not in seen else found[:0].view(np.int64))
+                if whole:
+                    odd.append(_parities(found))
                 seen.add(own)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "set_id", "n", "tokens"])
+            columns = {"doc_id": batch.column(0), "set_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "tokens": lists}
+            if whole:
+                columns["odd"] = pa.array(odd, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     return run
 
 
@@ -93,7 +110,10 @@ def _ranked(sets: DataFrame) -> DataFrame:
 
 
 def _index(ranked: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """Keys of each set: ``kind`` 1 rare tokens, 2 combinations of neighbouring frequent ones; ``place`` in the order."""
+    """Keys of each set: ``kind`` 1 rare tokens, 2 combinations of neighbouring frequent ones; ``place`` in the order.
+
+    The first ``alone`` places of a set are tokens that no other set has.
+    """
     n = F.col("n")
     alone = (n - F.size("shared")).cast("long")
     rare = F.size(F.filter("shared", lambda s: s["df"] <= frequent))
@@ -101,13 +121,13 @@ def _index(ranked: DataFrame, percent: int, frequent: int) -> DataFrame:
     placed = F.transform("shared", lambda s, i: F.struct(s["token"].alias("token"), (i + F.col("alone")).alias("place")))
     base = (ranked.withColumn("alone", alone).withColumn("rare", rare.cast("long")).withColumn("plain", plain)
             .withColumn("far", F.least(n, F.lit(2) * plain - 1 + plain_prefix(F.floor(n * 100 / percent), percent))).withColumn("placed", placed))
-    singles = base.select("set_id", "n", F.lit(1).alias("kind"), F.explode(F.slice("placed", F.lit(1), F.greatest(F.lit(0), F.least(F.col("rare"), F.col("plain") - F.col("alone"))).cast("int"))).alias("key"))
+    singles = base.select("set_id", "n", "alone", F.lit(1).alias("kind"), F.explode(F.slice("placed", F.lit(1), F.greatest(F.lit(0), F.least(F.col("rare"), F.col("plain") - F.col("alone"))).cast("int"))).alias("key"))
     chained = base.filter(F.col("alone") + F.col("rare") < F.col("plain")).withColumn(
         "run", F.slice("placed", (F.col("rare") + 1).cast("int"), F.greatest(F.lit(0), F.col("far") - F.col("alone") - F.col("rare")).cast("int")))
     pairs = F.zip_with(F.slice("run", F.lit(1), F.greatest(F.lit(0), F.size("run") - 1)), F.slice("run", F.lit(2), F.greatest(F.lit(0), F.size("run") - 1)),
                        lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("token"), x["place"].alias("place")))
-    chains = chained.select("set_id", "n", F.lit(2).alias("kind"), F.explode(pairs).alias("key"))
-    return singles.unionByName(chains).select("set_id", "n", "kind", F.col("key.token").alias("gram"), F.col("key.place").alias("place"))
+    chains = chained.select("set_id", "n", "alone", F.lit(2).alias("kind"), F.explode(pairs).alias("key"))
+    return singles.unionByName(chains).select("set_id", "n", "alone", "kind", F.col("key.token").alias("gram"), F.col("key.place").alias("place"))
 
 
 def _without_twins(index: DataFrame) -> DataFrame:
@@ -121,19 +141,29 @@ def _without_twins(index: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Bounds on size and, if the key is the pair's first common token, on what can follow it."""
+    """Bounds on size and on the common tokens before the key and from it on; a rare key is the pair's first common token."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     size = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    most = 1 + F.least(na - F.col(f"{a}.place") - 1, nb - F.col(f"{b}.place") - 1)
-    return size & ((F.col("kind") == 2) | (most * (100 + percent) >= (na + nb) * percent))
+    before = F.when(F.col("kind") == 1, F.lit(0)).otherwise(F.least(F.col(f"{a}.place") - F.col(f"{a}.alone"), F.col(f"{b}.place") - F.col(f"{b}.alone")))
+    most = before + F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
+    return size & (most * (100 + percent) >= (na + nb) * percent)
+
+
+def _parities_allow(na: Column, a: Column, nb: Column, b: Column, percent: int) -> Column:
+    """Whether the tokens that one side alone must hold, by the parities, leave enough common ones."""
+    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    return (na + nb - apart) * (100 + percent) >= (na + nb) * 2 * percent
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with whether their whole sets are similar enough."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+    """``pairs`` (a, b) that their parities allow, with whether their whole sets are similar enough."""
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    bounded = pairs.join(side("a", "n", "odd"), "a").join(side("b", "n", "odd"), "b").filter(
+        _parities_allow(F.col("a_n"), F.col("a_odd"), F.col("b_n"), F.col("b_odd"), percent)).select("a", "b", "a_n", "b_n")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = bounded.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
     return joined.select("a", "b", (both * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).alias("linked"))
 
 
@@ -156,7 +186,7 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if not found.filter("linked").isEmpty():
             labels = components(tested.filter("linked"))
 
-    entry = F.struct("set_id", "n", "place", "label")
+    entry = F.struct("set_id", "n", "alone", "place", "label")
     before = float("inf")
     for turn in range(LEADER_ROUNDS):
         open_keys = materialize(labelled(), "open_keys")
@@ -172,9 +202,12 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         first = F.first(entry).over(Window.partitionBy("kind", "gram").orderBy(*by, "set_id"))
         led = open_keys.withColumn("size", largest).select("kind", entry.alias("x"), first.alias("y"))
         test(led.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)))
-    rest = materialize(labelled(), "open_keys")
+    odd = sets.select(F.col("set_id").alias("of_set"), "odd")
+    rest = materialize(labelled().join(odd, F.col("set_id") == F.col("of_set")).drop("of_set"), "open_keys")
+    entry = F.struct("set_id", "n", "alone", "place", "label", "odd")
     left, right = rest.select("kind", "gram", entry.alias("x")), rest.select("kind", "gram", entry.alias("y"))
-    test(left.join(right, ["kind", "gram"]).filter((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)))
+    allowed = _may_link("x", "y", percent) & _parities_allow(F.col("x.n"), F.col("x.odd"), F.col("y.n"), F.col("y.odd"), percent)
+    test(left.join(right, ["kind", "gram"]).filter((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.label") != F.col("y.label")) & allowed))
     return tested.filter("linked").select("a", "b")
 
 
@@ -192,8 +225,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     survivors = materialize(_survivors(prefixed, percent), "survivors")
     kind = docs.schema[doc_id].dataType.simpleString()
     wanted = slim.join(survivors.select(F.col("doc_id").alias("wanted")), F.col("doc_id") == F.col("wanted"), "left_semi")
-    sets = materialize(wanted.mapInArrow(_sets(shingle, percent, True), f"doc_id {kind}, set_id long, n long, tokens array<long>")
-                       .filter(F.size("tokens") > 0).select("set_id", "n", "tokens").dropDuplicates(["set_id"]), "sets")
+    sets = materialize(wanted.mapInArrow(_sets(shingle, percent, True), f"doc_id {kind}, set_id long, n long, tokens array<long>, odd array<long>")
+                       .filter(F.size("tokens") > 0).select("set_id", "n", "tokens", "odd").dropDuplicates(["set_id"]), "sets")
     index = materialize(_without_twins(materialize(_index(_ranked(sets), percent, frequent), "keys")), "index")
     links = _links(index, sets, percent)
 
