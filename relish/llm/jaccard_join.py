@@ -12,7 +12,7 @@ So in any one order of all tokens, their first ``n - ceil(percent * n / 100) + k
    tokens then stand side by side in both sets, and these 2-token combinations are indexed.
 
 Sets under one key are candidates.  As links make groups, each round verifies candidates against one leader of a key only
-and joins groups; pairs that still belong to different groups at the end are all verified.  Before that, each set's
+and joins groups, as far as two steps from node to node show them; pairs still of different groups at the end are all verified.  Before that, each set's
 parities bound a pair from below: of 512 classes of tokens, those of which the two sets hold an odd and an even number have
 a token of one side alone.  Verifying counts the common tokens of the whole sets.  Sets and tokens are 64-bit hashes.
 """
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from relish.llm import arrowtext, texthash
+from relish.llm import arrowtext, prefilter, texthash
 from relish.llm.components import components
 from relish.session import materialize
 
@@ -104,15 +104,16 @@ def _survivors(prefixed: DataFrame, percent: int) -> DataFrame:
 
 def _ranked(sets: DataFrame) -> DataFrame:
     """Each set's tokens that another set has too, in order of rarity: ``set_id, n, shared``."""
-    entries = sets.select("set_id", "n", F.explode("tokens").alias("token"))
+    entries = sets.select("set_id", F.explode("tokens").alias("token"))
     df = entries.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
-    return df.groupBy("set_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    ranked = df.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    return ranked.join(sets.select("set_id", "n"), "set_id")
 
 
 def _index(ranked: DataFrame, percent: int, frequent: int) -> DataFrame:
     """Keys of each set: ``kind`` 1 rare tokens, 2 combinations of neighbouring frequent ones; ``place`` in the order.
 
-    The first ``alone`` places of a set are tokens that no other set has.
+    The first ``alone`` places of a set are tokens that no other set has; ``before`` is the set's previous key of the kind.
     """
     n = F.col("n")
     alone = (n - F.size("shared")).cast("long")
@@ -121,13 +122,14 @@ def _index(ranked: DataFrame, percent: int, frequent: int) -> DataFrame:
     placed = F.transform("shared", lambda s, i: F.struct(s["token"].alias("token"), (i + F.col("alone")).alias("place")))
     base = (ranked.withColumn("alone", alone).withColumn("rare", rare.cast("long")).withColumn("plain", plain)
             .withColumn("far", F.least(n, F.lit(2) * plain - 1 + plain_prefix(F.floor(n * 100 / percent), percent))).withColumn("placed", placed))
-    singles = base.select("set_id", "n", "alone", F.lit(1).alias("kind"), F.explode(F.slice("placed", F.lit(1), F.greatest(F.lit(0), F.least(F.col("rare"), F.col("plain") - F.col("alone"))).cast("int"))).alias("key"))
+    singles = base.select("set_id", "n", "alone", F.lit(1).alias("kind"), (F.slice("placed", F.lit(1), F.greatest(F.lit(0), F.least(F.col("rare"), F.col("plain") - F.col("alone"))).cast("int"))).alias("keys"))
     chained = base.filter(F.col("alone") + F.col("rare") < F.col("plain")).withColumn(
         "run", F.slice("placed", (F.col("rare") + 1).cast("int"), F.greatest(F.lit(0), F.col("far") - F.col("alone") - F.col("rare")).cast("int")))
     pairs = F.zip_with(F.slice("run", F.lit(1), F.greatest(F.lit(0), F.size("run") - 1)), F.slice("run", F.lit(2), F.greatest(F.lit(0), F.size("run") - 1)),
                        lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("token"), x["place"].alias("place")))
-    chains = chained.select("set_id", "n", "alone", F.lit(2).alias("kind"), F.explode(pairs).alias("key"))
-    return singles.unionByName(chains).select("set_id", "n", "alone", "kind", F.col("key.token").alias("gram"), F.col("key.place").alias("place"))
+    chains = chained.select("set_id", "n", "alone", F.lit(2).alias("kind"), pairs.alias("keys"))
+    ordered = F.transform("keys", lambda key, i: F.struct(key["token"].alias("gram"), key["place"].alias("place"), F.get("keys", i - 1)["token"].alias("before")))
+    return singles.unionByName(chains).select("set_id", "n", "alone", "kind", F.inline(ordered))
 
 
 def _without_twins(index: DataFrame) -> DataFrame:
@@ -157,13 +159,15 @@ def _parities_allow(na: Column, a: Column, nb: Column, b: Column, percent: int)
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) that their parities allow, with whether their whole sets are similar enough."""
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    def side(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    bounded = pairs.join(side("a", "n", "odd"), "a").join(side("b", "n", "odd"), "b").filter(
+    bounded = pairs.join(side(sets, "a", "n", "odd"), "a").join(side(sets, "b", "n", "odd"), "b").filter(
         _parities_allow(F.col("a_n"), F.col("a_odd"), F.col("b_n"), F.col("b_odd"), percent)).select("a", "b", "a_n", "b_n")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    joined = bounded.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    bounded = materialize(bounded, "bounded")
+    named = prefilter.probable(sets, "set_id", bounded.select(F.explode(F.array("a", "b"))))
+    joined = bounded.join(side(named, "a", "tokens"), "a").join(side(named, "b", "tokens"), "b")
     return joined.select("a", "b", (both * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).alias("linked"))
 
 
@@ -179,12 +183,10 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return named.drop("node").withColumn("mixed", F.min("label").over(key) != F.max("label").over(key)).filter("mixed").drop("mixed")
 
     def test(pairs: DataFrame) -> None:
-        nonlocal tested, labels
+        nonlocal tested
         fresh = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
         found = materialize(_verified(fresh.join(tested, ["a", "b"], "left_anti"), sets, percent), "verified")
         tested = tested.unionByName(found)
-        if not found.filter("linked").isEmpty():
-            labels = components(tested.filter("linked"))
 
     entry = F.struct("set_id", "n", "alone", "place", "label")
     before = float("inf")
@@ -202,12 +204,15 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         first = F.first(entry).over(Window.partitionBy("kind", "gram").orderBy(*by, "set_id"))
         led = open_keys.withColumn("size", largest).select("kind", entry.alias("x"), first.alias("y"))
         test(led.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)))
+        labels = components(tested.filter("linked"), rounds=2)
     odd = sets.select(F.col("set_id").alias("of_set"), "odd")
     rest = materialize(labelled().join(odd, F.col("set_id") == F.col("of_set")).drop("of_set"), "open_keys")
-    entry = F.struct("set_id", "n", "alone", "place", "label", "odd")
+    entry = F.struct("set_id", "n", "alone", "place", "label", "before", "odd")
     left, right = rest.select("kind", "gram", entry.alias("x")), rest.select("kind", "gram", entry.alias("y"))
     allowed = _may_link("x", "y", percent) & _parities_allow(F.col("x.n"), F.col("x.odd"), F.col("y.n"), F.col("y.odd"), percent)
-    test(left.join(right, ["kind", "gram"]).filter((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.label") != F.col("y.label")) & allowed))
+    # two sets whose previous keys are one key have met there, or under a twin of it that comes still earlier
+    met = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+    test(left.join(right, ["kind", "gram"]).filter((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.label") != F.col("y.label")) & ~met & allowed))
     return tested.filter("linked").select("a", "b")
 
 
@@ -224,7 +229,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     members = prefixed.select("doc_id", "set_id", "n")
     survivors = materialize(_survivors(prefixed, percent), "survivors")
     kind = docs.schema[doc_id].dataType.simpleString()
-    wanted = slim.join(survivors.select(F.col("doc_id").alias("wanted")), F.col("doc_id") == F.col("wanted"), "left_semi")
+    wanted = survivors.select(F.col("doc_id").alias("wanted"))
+    wanted = prefilter.probable(slim, "doc_id", wanted).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
     sets = materialize(wanted.mapInArrow(_sets(shingle, percent, True), f"doc_id {kind}, set_id long, n long, tokens array<long>, odd array<long>")
                        .filter(F.size("tokens") > 0).select("set_id", "n", "tokens", "odd").dropDuplicates(["set_id"]), "sets")
     index = materialize(_without_twins(materialize(_index(_ranked(sets), percent, frequent), "keys")), "index")
@@ -247,6 +253,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **sett
 
     Repeated rows of a kept id stay, as do rows without an id.
     """
+    gone_id, maybe = prefilter.fresh(docs.columns, "gone_id"), prefilter.fresh(docs.columns, "maybe_gone")
     groups = near_groups(docs, doc_id, text, **settings)
-    gone = materialize(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "near_copies")
-    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    gone = materialize(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(gone_id)).distinct(), "near_copies")
+    told = prefilter.flagged(docs, doc_id, gone, maybe)
+    checked = told.filter(maybe).join(gone, F.col(doc_id) == F.col(gone_id), "left_anti")
+    return told.filter(~F.col(maybe)).unionByName(checked).drop(maybe)
