@@ -20,13 +20,12 @@ def hex32(digest: Column, start: int = 1) -> Column:
 
 
 def hash_below(n: int, *parts: Column | str) -> Column:
-    """A number 0 .. n-1; 60 hash bits instead of 32 when n needs them.
+    """A number 0 .. n-1 from 60 hash bits, for every n by the same rule.
 
     Never NULL, and declared so: a filter on it is then not repeated below as a NULL check.
     """
-    digits = 8 if n < 1 << 31 else 15
     digest = F.md5(F.concat_ws("|", *parts))
-    return F.coalesce(F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint"), F.lit(0).cast("bigint")) % F.lit(n)
+    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(0).cast("bigint")) % F.lit(n)
 
 
 def bucket(key: Column, buckets: int) -> Column:

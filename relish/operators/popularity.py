@@ -10,10 +10,11 @@ from relish.functions.hashing import hash32, md5_mod
 def item_means(ratings: DataFrame, item: str = "game_title", rating: str = "rating") -> DataFrame:
     """Mean rating per item; partial averages combine before the shuffle, so a hot item is cheap.
 
-    Means are rounded to nine decimals: the order in which doubles are added, which
+    Ratings are added as decimals, exactly: the order in which doubles are added, which
     changes with the partitioning, would otherwise decide between items that tie.
     """
-    return ratings.where(F.col(item).isNotNull()).groupBy(item).agg(F.round(F.avg(rating), 9).alias("mean_rating"))
+    mean = F.try_divide(F.sum(F.col(rating).cast("decimal(28,9)")).cast("double"), F.count(rating))
+    return ratings.where(F.col(item).isNotNull()).groupBy(item).agg(mean.alias("mean_rating"))
 
 
 def best_first(score: str, key: str) -> list[Column]:

@@ -6,6 +6,7 @@ can state every number; the training queries report what must hold for a learned
 
 from pyspark.sql import functions as F
 
+from relish.functions.hashing import bucket
 from relish.operators import cleaning, forest, lookup, metrics, ncf, ncf_train, sampling, split
 from relish.operators.ncf_kernels import flatten
 from relish.operators.order import dense_positions
@@ -58,7 +59,7 @@ FACTORS = f"""{USERS},
 {_factors('uf', 'users', 'user_idx', 'u')},
 {_factors('vf', 'items', 'game_idx', 'v')}"""
 RATED = "rated as (select row_key, user_idx, game_idx, rating from fx_ratings join users using (user_id) join items using (game_title) where rating is not null)"
-NEGS = (f"negs as (select *, ('0x'||substr(md5(concat_ws('|', 'neg', '0', row_key)),1,8))::bigint % (select count(*) from items) as neg_idx from rated),\n"
+NEGS = (f"negs as (select *, ('0x'||substr(md5(concat_ws('|', 'neg', '0', row_key)),1,15))::bigint % (select count(*) from items) as neg_idx from rated),\n"
         f"{_factors('nf', 'items', 'game_idx', 'v').replace('nf as (select game_idx', 'nf as (select game_idx as neg_idx')},\n"
         + _scored("pos_s", "negs join uf using (user_idx) join vf using (game_idx)", "row_key, rating, user_idx, neg_idx", "pos") + ",\n"
         + _scored("both_s", "pos_s join uf using (user_idx) join nf using (neg_idx)", "row_key, rating, pos", "neg"))
@@ -229,9 +230,9 @@ def ncf_refresh(spark, sf_dir):
                                            F.count_if(same).alias("n_unchanged"), F.lit(bool(fell)).alias("error_fell"))
 
 
-ACTIVE = 30  # train ratings a user needs to be known to the model
+LEFT_OUT = 5  # one user in so many, by hash, is left out of training and so unknown to the model
 ROUTES = f"""{SPLIT},
-known as (select user_id from train group by user_id having count(*) >= {ACTIVE}),
+known as (select distinct user_id from train where ('0x'||substr(md5(user_id),1,8))::bigint % {LEFT_OUT} > 0),
 asks as (select event_id, json_extract_string(body, '$.username') as username, cast(json_extract(body, '$.gameRatings') as map(varchar, integer)) as given from fx_requests),
 routes as (select event_id, username, case when username in (select user_id from known) then 'known'
   when cardinality(given) > 0 then 'new' else 'none' end as route from asks)"""
@@ -242,7 +243,7 @@ def routed(spark, sf_dir):
     from relish.plans import routing
     rows = warehouse.ratings(spark, sf_dir)
     train = rows.where(~split.tenths_test(F.col("row_key")))
-    known = train.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= ACTIVE).select("user_id")
+    known = train.where(bucket(F.col("user_id"), LEFT_OUT) > 0).select("user_id").distinct()
     return routing.route(R.parse(warehouse.requests(spark, sf_dir)), known)
 
 

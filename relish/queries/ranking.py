@@ -10,7 +10,7 @@ from relish.queries.joins import SPLIT
 from relish.session import materialize
 from relish.sources import warehouse
 
-MEANS = "means as (select game_title, round(avg(rating), 9) as mean_rating from fx_ratings where game_title is not null group by game_title)"
+MEANS = "means as (select game_title, sum(rating::decimal(28,9))::double / count(rating) as mean_rating from fx_ratings where game_title is not null group by game_title)"
 
 
 @query("naive_topn", oracle("ratings", ctes=MEANS, select="""
@@ -68,7 +68,7 @@ def rank_tiers(spark, sf_dir):
 
 
 RANK_CTES = f"""{SPLIT},
-means as (select game_title, round(avg(rating), 9) as m from train group by game_title),
+means as (select game_title, sum(rating::decimal(28,9))::double / count(rating) as m from train group by game_title),
 scored as (select game_title, coalesce(m, (select avg(rating) from train)) as score from (select distinct game_title from fx_ratings) left join means using (game_title)),
 eligible as (select distinct user_id from test where user_id in (select user_id from train)),
 top as (select user_id, game_title, score, rank from (

@@ -16,8 +16,8 @@ prime as (select min(c) as p from (select n + unnest(range(0, 400)) as c from n)
 
 
 def order_sql(key, seed):
-    return (f"(('0x'||substr(md5(concat_ws('|', '{seed}a', {key})),1,8))::bigint % p + "
-            f"(1 + ('0x'||substr(md5(concat_ws('|', '{seed}b', {key})),1,8))::bigint % (p - 1)) * pos) % p")
+    return (f"(('0x'||substr(md5(concat_ws('|', '{seed}a', {key})),1,15))::bigint % p + "
+            f"(1 + ('0x'||substr(md5(concat_ws('|', '{seed}b', {key})),1,15))::bigint % (p - 1)) * pos) % p")
 
 
 @query("split_exact_ratio", oracle("ratings", select="""
@@ -93,7 +93,7 @@ def candidates_union(spark, sf_dir):
 
 
 @query("neg_sample_bpr", oracle("ratings", "catalog", ctes=f"{USERS},\n{ITEMS}", select="""
-select row_key, user_idx, game_idx, ('0x'||substr(md5(concat_ws('|', 'neg', '0', row_key)),1,8))::bigint % (select count(*) from items) as neg_idx
+select row_key, user_idx, game_idx, ('0x'||substr(md5(concat_ws('|', 'neg', '0', row_key)),1,15))::bigint % (select count(*) from items) as neg_idx
 from fx_ratings join users using (user_id) join items using (game_title) where rating is not null"""))
 def neg_sample_bpr(spark, sf_dir):
     items = item_ids(spark, sf_dir)

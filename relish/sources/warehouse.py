@@ -48,8 +48,8 @@ join (select p_partkey, concat(p_name, ' ', p_partkey) as title from {part}) b o
 """
 
 ITEM_VECTORS_VIEW = """
-select concat(p_name, ' ', p_partkey) as title, v.embedding, v.label
-from {embeddings} v join {part} on p_partkey = vec_id
+select case when p_partkey is null then concat('Vector ', vec_id) else concat(p_name, ' ', p_partkey) end as title, v.embedding, v.label
+from {embeddings} v left join {part} on p_partkey = vec_id
 """
 
 REVIEWS_VIEW = """
