@@ -16,12 +16,16 @@ Texts = Sequence[tuple[str, str]]
 
 
 def parse(messages: DataFrame, body: str = "body") -> DataFrame:
-    """Typed request columns; a malformed body counts as an empty one, missing fields get defaults."""
+    """Typed request columns; a malformed body counts as an empty one, missing fields get defaults.
+
+    ``has_ratings`` tells an empty map of ratings from none at all.
+    """
     r = F.from_json(body, schemas.REQUEST)
     return (messages.withColumn("_r", r)
             .withColumn("username", F.coalesce("_r.username", F.lit("anonymous")))
             .withColumn("model_type", valid_model(F.col("_r.modelType")))
             .withColumn("games", F.coalesce("_r.games", F.array().cast("array<string>")))
+            .withColumn("has_ratings", F.col("_r.gameRatings").isNotNull())
             .withColumn("gameRatings", F.coalesce("_r.gameRatings", F.create_map().cast("map<string,int>")))
             .withColumn("retry_count", F.coalesce("_r._retryCount", F.lit(0)))
             .drop("_r"))
@@ -103,15 +107,22 @@ def answer_naive(requests: DataFrame, means: DataFrame, key: str = "event_id", s
 
 
 def answer_vector(requests: DataFrame, items: DataFrame, key: str = "event_id", size: int = 5, least: int = 3) -> DataFrame:
-    """Vector recommendations with explanations; the default list when no profile can be made."""
-    recs = similarity.recommend(requests, items, key, size).join(items.select("item", "title", "description"), "item")
-    told = similarity.best_matches(recs, similarity.owned_titles(requests, key), items, key)
+    """Vector recommendations with explanations; the default list when no profile can be made.
+
+    With a profile the list is filled up to ``least``, also when every item is owned.
+    """
+    owned = similarity.owned_titles(requests, key)
+    scored = materialize(similarity.recommend(requests, items, key, size), "vector_recs")  # read twice below
+    recs = scored.join(items.select("item", "title", "description"), "item")
+    told = similarity.best_matches(recs, owned, items, key)
     described = told.select(key, F.struct("rank", "title", similarity.describe(
         F.col("score"), F.col("description"), F.col("match"), F.col("match_rating"), F.col("match_sim")).alias("description")).alias("s"))
     lists = described.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("_made"))
-    rows = requests.select(key).join(lists, key, "left").withColumn(
-        "_recs", F.transform("_made", lambda s: F.struct(s["title"].alias("title"), s["description"].alias("description"))))
-    answer = F.when(F.col("_recs").isNull(), texts(wording.VECTOR_DEFAULTS)).otherwise(
+    profiled = similarity.profiled(owned, items, key).withColumn("_profiled", F.lit(True))
+    made = F.coalesce("_made", F.array().cast(lists.schema["_made"].dataType))
+    rows = requests.select(key).join(profiled, key, "left").join(lists, key, "left").withColumn(
+        "_recs", F.transform(made, lambda s: F.struct(s["title"].alias("title"), s["description"].alias("description"))))
+    answer = F.when(F.col("_profiled").isNull(), texts(wording.VECTOR_DEFAULTS)).otherwise(
         padded(F.col("_recs"), texts(wording.VECTOR_DEFAULTS), least))
     return numbered(rows.select(key, answer.alias("_answer")), key, "_answer")
 

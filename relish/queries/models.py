@@ -261,8 +261,9 @@ def route_recommend(spark, sf_dir):
     """Known users get their stored vectors' top items; new ones are fitted first, their learned titles are not compared."""
     from relish.plans import routing
     users, items, uf, vf = factors(spark, sf_dir)
-    recs = routing.recommend(routed(spark, sf_dir), users.join(uf, "user_idx"), items.join(vf, "game_idx"), DENSE, 5, dropout=0.0)
-    shown = F.when(F.col("route") == "known", F.col("game_title"))
+    recs = routing.recommend(routed(spark, sf_dir), users.join(uf, "user_idx"), items.join(vf, "game_idx"), DENSE, 5,
+                             catalog=warehouse.catalog(spark, sf_dir), dropout=0.0)
+    shown = F.when(F.col("route").isin("known", "popular"), F.col("game_title"))
     return recs.select("event_id", "route", "rank", shown.alias("game_title"))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from relish.functions import wording
 from relish.operators import blocks, forest, popularity, similarity
-from relish.plans import naive, requests as R
+from relish.operators.features import feature_stages
+from relish.plans import naive, requests as R, routing
 
 
 def means(spark, n):
@@ -102,6 +103,27 @@ def test_vector_answers(spark):
     assert [r["title"] for r in sorted((r for r in got if r["event_id"] == 1), key=lambda r: r["id"])] == [t for t, _ in wording.VECTOR_DEFAULTS]
 
 
+def test_a_request_that_owns_everything_gets_three_rows(spark):
+    everything = [r["title"] for r in items(spark).select("title").collect()]
+    got = R.answer_vector(asked(spark, {"games": everything}), items(spark)).orderBy("id").collect()
+    assert [r["title"] for r in got] == [t for t, _ in wording.VECTOR_DEFAULTS[:3]]
+
+
+def test_empty_ratings_get_popular_titles(spark):
+    known = spark.createDataFrame([("ann",)], "user_id string")
+    rows = asked(spark, {"username": "ann"}, {"gameRatings": {}}, {"username": "bob"}, {"gameRatings": {"x": 3}})
+    routed = routing.route(rows, known)
+    assert {r["event_id"]: r["route"] for r in routed.collect()} == {0: "known", 1: "popular", 2: "none", 3: "new"}
+    catalog = spark.createDataFrame([("a", 5), ("b", 9), ("c", None), ("d", 9)], "title string, user_ratings_count int")
+    got = routing.popular(routed, catalog, 3).orderBy("rank").collect()
+    assert [(r["event_id"], r["rank"], r["game_title"]) for r in got] == [(1, 1, "b"), (1, 2, "d"), (1, 3, "a")]
+
+
+def test_more_genres_than_the_default_vocabulary_are_kept(spark):
+    rows = spark.range(300).select(F.transform(F.sequence(F.col("id") * 900, F.col("id") * 900 + 899), lambda g: F.concat(F.lit("g"), g)).alias("genres"))
+    assert len(feature_stages()[0].fit(rows).vocabulary) == 270_000
+
+
 def test_forest_recommend_leaves_liked_titles_out(spark):
     scores = spark.createDataFrame([("Doom", 9.0), (" doom ", 8.5), ("Ico", 8.0), ("Rez", 7.0)], "title string, predicted_score double")
     rows = spark.createDataFrame([(1, ["DOOM"]), (2, ["doom", "ico", "rez"]), (3, []), (4, ["other"] * 9)], "event_id bigint, games array<string>")
