@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import plain
-from relish.llm import (components, contexttree, ctw_scoring, decontaminate, jaccard_join, line_dedup, packing, preferences, revisits, rule_ensemble,
+from relish.llm import (components, contexttree, ctw_scoring, decontaminate, jaccard_join, line_dedup, packing, preferences, prefilter, revisits, rule_ensemble,
                         suffix_dedup, winnowing)
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, score double, kept string"
@@ -54,6 +54,38 @@ def test_near_groups_of_a_large_family(spark, words):
     assert got == plain.near_groups(docs)
 
 
+def test_pairs_that_leaders_leave_are_all_met(spark, words, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEADER_ROUNDS", 0)  # every pair comes from the last join
+    passage, docs = text_of(words, 40, 9).split(), {}
+    for i in range(90):  # families around own texts, with one passage that all share
+        r = random.Random(i)
+        own = text_of(words, 70, 100 + i % 6).split() + passage
+        for _ in range(r.randrange(4)):
+            own[r.randrange(len(own))] = f"w{r.randrange(50)}"
+        docs[i] = " ".join(own)
+    want = plain.near_groups(docs)
+    assert 6 < len({c for _, c in want.values()}) < 90
+    for frequent in (2, 8, 64):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_groups(frame(spark, docs), frequent=frequent).collect()}
+        assert got == want
+
+
+def test_prefilter_keeps_every_partner_and_all_columns(spark):
+    rows = spark.createDataFrame([(k, k, str(k)) for k in (None, *range(3000))], "id long, at_word long, Word_Bits string")
+    ids = spark.createDataFrame([(k,) for k in (None, *range(0, 3000, 7), 10**12)], "id long")
+    found = prefilter.probable(rows, "id", ids)
+    kept = [r.id for r in found.collect()]
+    assert found.columns == rows.columns and set(kept) >= set(range(0, 3000, 7)) and None not in kept and len(kept) < 600
+    assert prefilter.probable(rows, "id", ids.limit(0)).count() == 0
+
+
+def test_keep_one_with_clashing_columns(spark, words):
+    text = text_of(words, 40, 3)
+    rows = spark.createDataFrame([(1, text, 0, "a"), (2, text, 1, "b"), (3, "", 2, None), (None, text, 3, "d")], "doc_id long, text string, gone_id int, maybe_gone string")
+    kept = jaccard_join.keep_one(rows)
+    assert kept.columns == rows.columns and sorted(r.gone_id for r in kept.collect()) == [0, 2, 3]
+
+
 def test_near_groups_without_ids_and_rows(spark, words):
     text = text_of(words, 40, 3)
     rows = spark.createDataFrame([(None, text), (None, text), (3, text), (3, text), (2, text), (7, "other words are here now"), (7, text)], "doc_id long, text string")
