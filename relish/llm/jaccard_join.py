@@ -12,9 +12,10 @@ So in any one order of all tokens, their first ``n - ceil(percent * n / 100) + k
    tokens then stand side by side in both sets, and these 2-token combinations are indexed.
 
 Sets under one key are candidates.  As links make groups, each round verifies candidates against one leader of a key only
-and joins groups, as far as two steps from node to node show them; pairs still of different groups at the end are all verified.  Before that, each set's
-parities bound a pair from below: of 512 classes of tokens, those of which the two sets hold an odd and an even number have
-a token of one side alone.  Verifying counts the common tokens of the whole sets.  Sets and tokens are 64-bit hashes.
+and joins groups, as far as two steps from node to node show them; pairs still of different groups at the end are all
+verified.  Before that, each set's parities bound a pair from below: of 512 classes of tokens, those of which the two sets
+hold an odd and an even number have a token of one side alone.  Verifying counts the common tokens of the whole sets.  Sets
+and tokens are 64-bit hashes.
 """
 
 from __future__ import annotations
