@@ -130,18 +130,23 @@ def _cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc, twin, text, doc_id``: twin numbers the different texts of one id (0 as a rule), in order of a hash."""
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``doc, twin, text, doc_id`` of every row, and ``doc, twin, text`` of every document once: twin numbers the different
+    texts of one id (0 as a rule), in order of a hash."""
     slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).alias("doc_id"))
     often = materialize(slim.groupBy("doc").count().filter("count > 1").select(F.col("doc").alias("often")), "repeated_ids")
     if often.isEmpty():
-        return slim.select("doc", F.lit(0).cast("long").alias("twin"), "text", "doc_id")
+        keyed = slim.select("doc", F.lit(0).cast("long").alias("twin"), "text", "doc_id")
+        return keyed, keyed.select("doc", "twin", "text")
     hashed = slim.withColumn("hashed", F.xxhash64("text"))
     twins = (hashed.join(often, F.col("doc") == F.col("often"), "left_semi").select("doc", "hashed").distinct()
              .select(F.col("doc").alias("twin_doc"), F.col("hashed").alias("twin_hash"),
                      (F.row_number().over(Window.partitionBy("doc").orderBy("hashed")) - 1).cast("long").alias("twin")))
     joined = hashed.join(materialize(twins, "twins"), (F.col("doc") == F.col("twin_doc")) & (F.col("hashed") == F.col("twin_hash")), "left")
-    return joined.select("doc", F.coalesce("twin", F.lit(0).cast("long")).alias("twin"), "text", "doc_id")
+    keyed = joined.select("doc", F.coalesce("twin", F.lit(0).cast("long")).alias("twin"), "text", "doc_id")
+    # only texts of repeated ids have to meet to become distinct; the others stay where they are
+    repeats = joined.filter("twin is not null").select("doc", "twin", "text").distinct()
+    return keyed, joined.filter("twin is null").select("doc", F.lit(0).cast("long").alias("twin"), "text").unionByName(repeats)
 
 
 def _listed(places: DataFrame) -> DataFrame:
@@ -152,18 +157,18 @@ def _listed(places: DataFrame) -> DataFrame:
 
 def _with_places(keyed: DataFrame, places: DataFrame, how: str) -> DataFrame:
     match: Column = (F.col("doc") == F.col("of_doc")) & (F.col("twin") == F.col("of_twin"))
-    return keyed.join(_listed(places), match, how).select("doc", "twin", "text", "places", "doc_id")
+    return keyed.join(_listed(places), match, how).select("doc", "twin", "text", "places", *keyed.columns[3:])
 
 
-def repeated(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """``doc, place`` of every run or window of which all bytes stand in an earlier text or place too."""
-    first = keyed.select("doc", "twin", "text").mapInArrow(_first_digits(length, gram), "anchor long, whole long, doc long, place long, known boolean")
+def repeated(once: DataFrame, length: int, gram: int) -> DataFrame:
+    """``doc, place`` of every run or window of which all bytes stand in an earlier text or place too; no document twice."""
+    first = once.mapInArrow(_first_digits(length, gram), "anchor long, whole long, doc long, place long, known boolean")
     group, order = Window.partitionBy("anchor"), Window.partitionBy("anchor").orderBy("whole", "doc", "place")
     again = F.col("known") | F.coalesce(F.lag("whole").over(order) == F.col("whole"), F.lit(False))
     ranked = first.select("doc", "place", again.alias("again"), (F.min("whole").over(group) != F.max("whole").over(group)).alias("mixed"))
     left = materialize(ranked.select("doc", "place", "again", "mixed").filter("again or mixed"), "runs")
     heads = left.filter("not again").select("doc", "place")
-    last = _with_places(keyed, heads, "inner").select("doc", "twin", "text", "places").mapInArrow(_last_digit(length), "digit long, doc long, place long")
+    last = _with_places(once, heads, "inner").mapInArrow(_last_digit(length), "digit long, doc long, place long")
     within = Window.partitionBy("digit").orderBy("doc", "place")
     later = last.select("doc", "place", F.lag("digit").over(within).alias("before")).filter("before is not null").select("doc", "place")
     return left.filter("again").select("doc", "place").unionByName(materialize(later, "windows"))
@@ -179,7 +184,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     stand in the order of a hash.  Other columns are ignored; no rows, no result.  Ids are whole numbers, texts shorter
     than 2^40 bytes, texts of one id fewer than 2^15; ``gram`` is at most ``length``, and ``length`` at most 255.
     """
-    keyed = _keyed(docs, doc_id, text)
-    marked = _with_places(keyed, repeated(keyed, length, gram), "left")
+    keyed, once = _keyed(docs, doc_id, text)
+    marked = _with_places(keyed, repeated(once, length, gram), "left")
     kind = docs.schema[doc_id].dataType.simpleString()
     return marked.mapInArrow(_cut(length), f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")

@@ -116,6 +116,18 @@ def test_cut_repeats_with_equal_ids(spark, words):
     assert [n for _, n in got[:3]] in ([0, 0, 1], [0, 0, 0]) or sorted(n for _, n in got[:3])[0] == 0
 
 
+def test_cut_repeats_with_repeated_rows(spark, words):
+    docs = {1: text_of(words, 60, 4), 2: text_of(words, 60, 5), 4: text_of(words, 30, 6) + text_of(words, 40, 4), 5: "x" * 450, 6: None}
+    docs[3] = docs[2] + "y"
+    want = plain.cut_repeats(docs)
+    assert want[1][1] == want[2][1] == 0 < want[3][1]
+    # ids 1, 3 and 5 twice or three times: their own copies are no earlier ones
+    rows = spark.createDataFrame([(k, docs[k]) for k in (1, 1, 2, 3, 3, 3, 4, 5, 5, 6, 6)], "doc_id long, text string")
+    found = suffix_dedup.cut_repeats(rows).collect()
+    got = [(r.doc_id, (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest())) for r in found]
+    assert sorted(got) == sorted((k, want[k]) for k in (1, 1, 2, 3, 3, 3, 4, 5, 5, 6, 6))
+
+
 def test_runs_across_stretches(monkeypatch, words):
     data = np.frombuffer((text_of(words, 80, 1) * 3).encode(), dtype=np.uint8)
     whole = sum(int(c.sum()) for *_, c in suffix_dedup.runs(data, 100, 32))
