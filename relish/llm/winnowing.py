@@ -29,27 +29,51 @@ def window_minima(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def winnow(points: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> np.ndarray:
-    """Selected grams of a text's code points, as (32-bit hash, position) rows in order of position.
+def scales(n: int, gram: int, window: int) -> list[tuple[int, int]]:
+    """Grams and windows for a text of ``n`` code points.
 
-    Of every ``window`` consecutive grams the one with the least hash is selected, the rightmost of equal ones, so any
-    two texts that share ``gram + window - 1`` characters in a row share a selected hash.  With fewer grams there is one
-    window; a text shorter than a gram is a gram; an empty text has none.
+    A window holds a third of the text's grams at most.  Grams of a third of the length, and of a ninth, serve texts of less
+    than four times the next longer gram; a gram that is not the shortest needs a text of twice its length.  So any two
+    texts, the shorter at least half as long as the longer, have a gram length in common.
     """
+    found, longer, shortest = [], 0, -(-gram // 9)
+    for size in sorted({gram, -(-gram // 3), shortest}, reverse=True):
+        if (not longer or n < 4 * longer) and (size == shortest or n >= min(2 * size, gram + window - 1)):
+            own = min(size, n)
+            found.append((own, max(1, min(window, (n - own + 1) // 3))))
+        longer = size
+    return found
+
+
+def _select(points: np.ndarray, gram: int, window: int) -> np.ndarray:
     n = len(points)
-    if not n:
-        return np.empty((0, 2), dtype=">u4")
-    gram = min(gram, n)
     up, down = texthash.powers(n + 1)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum(texthash.mix((points + U64(1)) * U64(0x9E3779B97F4A7C15)) * up[:n], out=sums[1:])
     hashes = texthash.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1] + U64(gram))
     place = np.arange(len(hashes), dtype=U64)
-    least = window_minima((hashes & ~LOW) | (LOW - place), min(window, len(hashes)))
+    least = window_minima((hashes & ~LOW) | (LOW - place), window)
     picked = least[np.flatnonzero(np.diff(least, prepend=least[0] ^ U64(1)))]
     return np.stack([picked >> U64(32), LOW - (picked & LOW)], axis=1).astype(">u4")
 
 
+def winnow(points: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> np.ndarray:
+    """Selected grams of a text's code points, as (32-bit hash, position) rows in order of position.
+
+    Of every ``window`` consecutive grams the one with the least hash is selected, the rightmost of equal ones, so any
+    two texts that share ``gram + window - 1`` characters in a row share a selected hash.  Short texts have smaller windows
+    and shorter grams (``scales``); the promise holds, as the least of a window is the least of every smaller window that
+    holds it.  A text that keeps its first three quarters shares a selected hash at every length.  An empty text has none.
+    """
+    if not len(points):
+        return np.empty((0, 2), dtype=">u4")
+    parts = [_select(points, *scale) for scale in scales(len(points), gram, window)]
+    if len(parts) == 1:
+        return parts[0]
+    every = np.concatenate(parts)
+    return every[np.argsort(every[:, 1], kind="stable")]
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Dice coefficient of the distinct hashes; two empty fingerprints are alike."""
     x, y = np.unique(a[:, 0]), np.unique(b[:, 0])

@@ -170,6 +170,21 @@ def test_winnow_selects_rightmost_minimum_and_keeps_its_promise(words):
     assert winnowing.winnow(same)[0, 1] == winnowing.WINDOW - 1  # the rightmost of equal hashes
 
 
+def test_winnowing_of_short_texts(spark, words):
+    long = text_of(words, 90, 6)
+    docs = {n: text_of(words, 60, 1000 + n)[:n] for n in range(4, 151)}
+    rows = {r.doc_id: r.near_edited for r in winnowing.fingerprint_neighbours(frame(spark, docs)).collect()}
+    assert all(rows[n] > 0 for n in docs)  # three quarters are kept, by a following text of one character more
+    for low, high in ((4, 20), (20, 50), (50, 100), (100, 151)):
+        assert 0.5 < sum(rows[n] for n in range(low, high)) / (high - low) < 1
+    points = [np.array([ord(c) for c in t], dtype=np.uint64) for t in (long, docs[150])]
+    grams = [set(winnowing.winnow(p)[:, 0]) for p in points]
+    assert not grams[0] & grams[1]
+    for n in range(4, 300):  # a shorter near copy beyond a step of the scales, and 100 characters of a long text in a short one
+        assert winnowing.likeness(winnowing.winnow(points[0][:n]), winnowing.winnow(points[0][: n - n // 4])) > 0
+        assert n < 100 or set(winnowing.winnow(points[0][200: 200 + n])[:, 0]) & grams[0]
+
+
 def test_packing(spark, corpus):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
