@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from relish.llm import ctw_scoring, decontaminate, jaccard_join, line_dedup, packing, preferences, revisits, rule_ensemble, suffix_dedup, winnowing
+from relish.llm import (collocations, ctw_scoring, decontaminate, jaccard_join, language_id, line_dedup, packing, preferences, reversed_search, revisits,
+                        rule_ensemble, suffix_dedup, winnowing)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,3 +186,52 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_collocations", """
+with docs as (select row_number() over () as id, coalesce(lang, 'und') as lang,
+                     regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\x0C\\r]') as parts from documents),
+pieces as (select lang, regexp_extract_all(unnest(parts), '[^ \\t]+') as w from docs),
+grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase from pieces, range(1, 5) r(k) where len(w) >= k),
+counted as (select lang, k, phrase, count(*) as a from grams group by lang, k, phrase),
+totals as (select lang, sum(a)::bigint as n from counted where k = 1 group by lang),
+frequent as (select *, string_split(phrase, ' ') as w from counted where a >= 30),
+phrases as (select * from frequent where k > 1),
+inner_parts as (select lang, a, phrase as whole, unnest(list_concat([array_to_string(w[i : i + 1], ' ') for i in range(1, k)], [array_to_string(w[i : i + 2], ' ') for i in range(1, k - 1)])) as part from phrases where k > 2),
+covered as (select distinct p.lang, p.phrase from phrases p join inner_parts i on i.lang = p.lang and i.part = p.phrase where i.part <> i.whole and 100 * i.a >= 80 * p.a),
+cuts as (select p.lang, p.phrase, p.a, c.cut, array_to_string(p.w[1 : c.cut], ' ') as lhs, array_to_string(p.w[c.cut + 1 : p.k], ' ') as rhs
+         from phrases p anti join covered v on v.lang = p.lang and v.phrase = p.phrase, range(1, 4) c(cut) where c.cut < p.k),
+scored as (select c.lang, c.phrase, c.a, l.a as l, r.a as r, ((2000000::hugeint * c.a) // (l.a + r.a))::bigint as score,
+                  row_number() over (partition by c.lang, c.phrase order by (2000000::hugeint * c.a) // (l.a + r.a), c.cut) as place
+           from cuts c join frequent l on l.lang = c.lang and l.phrase = c.lhs join frequent r on r.lang = c.lang and r.phrase = c.rhs),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from scored where place = 1)
+select k.lang, rank, phrase, a, l, r, n, score from ranked k join totals t on t.lang = k.lang where rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language, over all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op12_reversed_search", r"""
+with docs as (select row_number() over () as id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+lengths as (select id, doc_id, len(w) as n from docs where len(w) > 0),
+totals as (select count(*) as big_n, coalesce(sum(n), 0)::bigint as big_l from lengths),
+held as (select id, term, count(*) as tf from (select id, unnest(w) as term from docs) group by id, term),
+asked as (select item_id, term, count(*) as q from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+          from (select distinct item_id, text from benchmark)) group by item_id, term),
+weights as (select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from held group by term), totals),
+gains as (select h.id, h.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) as gain
+          from held h join weights using (term) join lengths using (id), totals where term in (select term from asked)),
+scored as (select item_id, id, sum(q * gain)::bigint as score from gains join asked using (term) group by item_id, id),
+ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scored join lengths using (id) where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all documents for every benchmark item."""
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
