@@ -25,11 +25,10 @@ from relish.session import materialize
 LONGEST = 4
 #: characters that are worked on at once; longer texts are added up
 STRETCH = 1 << 19
-#: bytes of weights that one shard learns from, buckets of a piece of the state that travels
-SHARD_BYTES, PIECE = 32 << 20, 1 << 12
+#: bytes of text that one shard learns from, buckets of a piece of the state that travels
+SHARD_BYTES, PIECE = 16 << 20, 1 << 12
 #: inverse temperatures that are tried first, then as many between the neighbours of the best
 TRIED = np.geomspace(1 / 16, 64, 41)
-VECTOR = "key long, label int, fitted boolean, at binary, weight binary"
 
 _MULTIPLIER, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -120,28 +119,12 @@ def _idf(texts: DataFrame, bits: int) -> np.ndarray:
     return np.log((1 + n[at < 0].sum()) / (1 + held)).astype(np.float32)
 
 
-def _vectors(bits: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Weights of the sample's texts, equal texts once a task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, seen = shared.value, set()
-        for batch in batches:
-            rows = []
-            for key, label, fitted, text in zip(*[batch.column(i).to_pylist() for i in range(3)], _strings(batch.column(3)), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                at, weight = weighted(text, bits, idf)
-                if len(at):
-                    rows.append((key, label, fitted, at.tobytes(), weight.tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "label", "fitted", "at", "weight"])
-    return run
-
-
-def _pairs(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for label, at, weight in zip(*[rows.column(c).to_pylist() for c in ("label", "at", "weight")], strict=True):
-        yield label, np.frombuffer(at, dtype=np.uint32), np.frombuffer(weight, dtype=np.float32)
+def _vectors(rows: pa.Table | pa.RecordBatch, bits: int, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Label, buckets and weights of each text with a letter."""
+    for label, text in zip(rows.column("label").to_pylist(), _strings(rows.column("text")), strict=True):
+        at, weight = weighted(text, bits, idf)
+        if len(at):
+            yield label, at, weight
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -154,9 +137,9 @@ def coefficients(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
     return -np.sign(z) * np.maximum(np.abs(z) - s.l1, 0) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2)
 
 
-def learn(rows: pa.Table, z: np.ndarray, n: np.ndarray, s: Settings) -> None:
-    """One pass over the rows in order of their keys; ``z`` and ``n`` (buckets x classes) are changed in place."""
-    for label, at, x in _pairs(rows.sort_by("key")):
+def learn(vectors: Iterator[tuple[int, np.ndarray, np.ndarray]], z: np.ndarray, n: np.ndarray, s: Settings) -> None:
+    """One pass over (label, buckets, weights) in their order; ``z`` and ``n`` (buckets x classes) are changed in place."""
+    for label, at, x in vectors:
         z_at, n_at = z[at], n[at]
         w = coefficients(z_at, n_at, s)
         p = _softmax(x @ w)
@@ -170,27 +153,28 @@ def learn(rows: pa.Table, z: np.ndarray, n: np.ndarray, s: Settings) -> None:
 def _shard(shared, s: Settings) -> Callable[[pa.Table], pa.Table]:
     """What a shard's pass makes of the state, in pieces, times the shard's rows."""
     def run(rows: pa.Table) -> pa.Table:
-        z, n = (a.copy() for a in shared.value)
-        learn(rows, z, n, s)
+        idf, z, n = shared.value
+        z, n = z.copy(), n.copy()
+        learn(_vectors(rows.sort_by("key"), s.bits, idf), z, n, s)
         share, pieces = rows.num_rows, range(0, len(z), PIECE)
-        state = [(np.stack([z[p : p + PIECE], n[p : p + PIECE]]) * share).astype(np.float64).tobytes() for p in pieces]
+        state = [(np.stack([z[p : p + PIECE], n[p : p + PIECE]]) * share).astype(np.float32).tobytes() for p in pieces]
         return pa.table({"piece": pa.array(list(pieces), pa.int32()), "share": pa.array([share] * len(state), pa.int64()), "state": pa.array(state, pa.binary())})
     return run
 
 
 def _added(rows: pa.Table) -> pa.Table:
     """Pieces of one place, added up."""
-    total = sum(np.frombuffer(b, dtype=np.float64) for b in rows.column("state").to_pylist())
-    return pa.table({"piece": rows.column("piece")[:1], "share": pa.array([sum(rows.column("share").to_pylist())], pa.int64()), "state": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(b, dtype=np.float32) for b in rows.column("state").to_pylist())
+    return pa.table({"piece": rows.column("piece")[:1], "share": pa.array([sum(rows.column("share").to_pylist())], pa.int64()), "state": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _losses(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _losses(bits: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Negative log-likelihood of a task's rows at each inverse temperature; targets keep a little for the other classes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, tried, spare = shared.value
+        idf, w, tried, spare = shared.value
         total = np.zeros(len(tried))
         for batch in batches:
-            for label, at, x in _pairs(batch):
+            for label, at, x in _vectors(batch, bits, idf):
                 logits = (x @ w[at])[None, :] * tried[:, None]
                 logp = logits - logits.max(axis=1, keepdims=True)
                 logp -= np.log(np.exp(logp).sum(axis=1, keepdims=True))
@@ -218,15 +202,16 @@ class Model:
         return self.languages[best], float(p[best])
 
 
-def _temperature(held: DataFrame, w: np.ndarray) -> float:
+def _temperature(held: DataFrame, bits: int, idf: np.ndarray, w: np.ndarray) -> float:
     """The inverse temperature of the least loss on rows that were not learned from; 1 without such rows."""
     spark, rows = held.sparkSession, held.count()
     if not rows:
         return 1.0
     best, tried = 1.0, TRIED
     for _ in range(2):
-        shared = spark.sparkContext.broadcast((w, tried, 1 / (rows + 2)))
-        loss = {r.place: r.loss for r in held.select("label", "at", "weight").mapInArrow(_losses(shared), "place long, loss double").groupBy("place").agg(F.sum("loss").alias("loss")).collect()}
+        shared = spark.sparkContext.broadcast((idf, w, tried, 1 / (rows + 2)))
+        sums = held.select("label", "text").mapInArrow(_losses(bits, shared), "place long, loss double").groupBy("place").agg(F.sum("loss").alias("loss"))
+        loss = {r.place: r.loss for r in sums.collect()}
         at = min(loss, key=lambda i: (loss[i], i))
         best, tried = float(tried[at]), np.geomspace(tried[max(0, at - 1)], tried[min(len(tried) - 1, at + 1)], len(tried))
     return best
@@ -252,22 +237,21 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     drawn = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(span))
     sample = (known.join(F.broadcast(classes), F.col("lang") == F.col("of_lang")).filter(drawn < F.col("share"))
               .select("key", "label", (F.pmod(F.xxhash64("key", F.lit(2)), F.lit(5)) != 0).alias("fitted"), "text"))
-    vectors = sample.mapInArrow(_vectors(s.bits, spark.sparkContext.broadcast(idf)), VECTOR)
-    vectors = materialize(vectors.groupBy("key").agg(*[F.first(c).alias(c) for c in ("label", "fitted", "at", "weight")]), "vectors")
-    fitted = vectors.filter("fitted")
-    shards = fitted.agg(F.coalesce(F.sum(F.octet_length("at")), F.lit(0))).first()[0] // (SHARD_BYTES // 2) + 1
-    sharded = fitted.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards))).select("shard", "key", "label", "at", "weight")
-    z, n = (np.zeros((1 << s.bits, len(languages)), dtype=np.float64) for _ in range(2))
+    sample = materialize(sample.dropDuplicates(["key"]), "sample")
+    fitted = sample.filter("fitted")
+    shards = fitted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // SHARD_BYTES + 1
+    sharded = fitted.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards))).select("shard", "key", "label", "text")
+    z, n = (np.zeros((1 << s.bits, len(languages)), dtype=np.float32) for _ in range(2))
     for _ in range(s.passes):
-        shared = spark.sparkContext.broadcast((z, n))
+        shared = spark.sparkContext.broadcast((idf, z, n))
         states = sharded.groupBy("shard").applyInArrow(_shard(shared, s), "piece int, share long, state binary")
         z, n = z.copy(), n.copy()
         for piece, share, state in states.groupBy("piece").applyInArrow(_added, "piece int, share long, state binary").collect():
-            mean = np.frombuffer(state, dtype=np.float64) / share
+            mean = np.frombuffer(state, dtype=np.float32) / share
             z[piece : piece + PIECE], n[piece : piece + PIECE] = mean.reshape(2, -1, len(languages))
         shared.unpersist()
     w = coefficients(z, n, s).astype(np.float32)
-    w *= np.float32(_temperature(vectors.filter("not fitted"), w))
+    w *= np.float32(_temperature(sample.filter("not fitted"), s.bits, idf, w))
     used = np.flatnonzero(w.any(axis=1))
     place = nothing + len(used)
     place[used] = np.arange(len(used))

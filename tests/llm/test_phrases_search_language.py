@@ -83,8 +83,10 @@ def test_long_texts_are_cut_between_words(words, monkeypatch):
     everything = SimpleNamespace(value=[np.full(collocations.MAP_WORDS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)] * 4)
     counted, named = Counter(), {}
     for row in rows:
-        counted.update(dict(zip(row.column("words")[0].as_py(), row.column("counts")[0].as_py(), strict=True)))
-        named.update(zip(row.column("hashes")[0].as_py(), row.column("words")[0].as_py(), strict=True))
+        spelled = row.column("words")[0].as_py().decode().split("\n")[:-1]
+        counted.update(dict(zip(spelled, np.frombuffer(row.column("counts")[0].as_py(), dtype=np.int32).tolist(), strict=True)))
+        named.update(zip(np.frombuffer(row.column("hashes")[0].as_py(), dtype=np.int64).tolist(), spelled, strict=True))
+    rows = [row.select(["own", "hashes", "codes"]) for row in rows]
     assert +counted == Counter(w for t in all_words(texts) for w in t)
     found = {tuple(named[h] for h in path) for b in collocations._candidates(4, everything)(iter(rows)) for path in b.column("path").to_pylist()}
     want = Counter(tuple(p[i : i + k]) for t in texts for p in (re.findall("[^ \t]+", x) for x in (t or "").split(",")) for k in (2, 3, 4) for i in range(len(p) - k + 1))
@@ -235,7 +237,7 @@ def test_learning_is_the_plain_method():
     s = language_id.Settings(bits=5, alpha=0.7, beta=0.9, l1=0.05, l2=0.2)
     rows = [(int(k), int(r.integers(3)), np.sort(r.choice(32, 6, replace=False)).astype(np.uint32), r.random(6).astype(np.float32)) for k in r.permutation(60)]
     z, n = np.zeros((32, 3)), np.zeros((32, 3))
-    language_id.learn(pa.table({"key": [k for k, *_ in rows], "label": pa.array([y for _, y, *_ in rows], pa.int32()), "at": [a.tobytes() for *_, a, _ in rows], "weight": [x.tobytes() for *_, x in rows]}), z, n, s)
+    language_id.learn(((y, at, x) for _, y, at, x in sorted(rows, key=lambda row: row[0])), z, n, s)
     zp, np_ = [[0.0] * 3 for _ in range(32)], [[0.0] * 3 for _ in range(32)]
     for _, y, at, x in sorted(rows, key=lambda row: row[0]):
         w = {(i, c): 0.0 if abs(zp[i][c]) <= s.l1 else -(zp[i][c] - math.copysign(s.l1, zp[i][c])) / ((s.beta + math.sqrt(np_[i][c])) / s.alpha + s.l2) for i in at for c in range(3)}
