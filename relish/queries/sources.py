@@ -8,7 +8,7 @@ from relish.operators import lookup
 from relish.queries import oracle, query
 from relish.queries.joins import ITEMS, SPLIT, USERS, item_ids, user_ids
 from relish.session import scratch_dir
-from relish.sources import files, warehouse
+from relish.sources import artifacts, files, probe, warehouse
 from relish.operators import split
 
 
@@ -144,3 +144,78 @@ def sink_if_missing(spark, sf_dir):
         return rows.where(part).groupBy("user_id").agg(F.count("*").alias("n_rows"))
     files.materialize_if_missing(counts(~test), path)
     return files.materialize_if_missing(counts(test), path)
+
+
+@query("sink_versions", oracle("ratings", ctes=SPLIT, select="""
+select user_id, count(*) as n_rows, 1 as version, 2 as n_versions from test group by user_id"""))
+def sink_versions(spark, sf_dir):
+    """Two published versions with a failing writer between and behind them: the second is what a reader finds."""
+    path = scratch_dir(spark, "counts")
+    rows = warehouse.ratings(spark, sf_dir)
+    test = split.tenths_test(F.col("row_key"))
+
+    def fail(folder):
+        rows.select("user_id").write.parquet(folder)
+        raise RuntimeError("lost before it published")
+    table = artifacts.Artifact(spark, path)
+    for part in (~test, test):
+        artifacts.publish(rows.where(part).groupBy("user_id").agg(F.count("*").alias("n_rows")), path)
+        try:
+            table.publish(fail)
+        except RuntimeError:
+            pass
+    version, folder = table.newest()
+    return spark.read.parquet(folder).select("user_id", "n_rows", F.lit(version).alias("version"), F.lit(len(table.versions())).alias("n_versions"))
+
+
+@query("sink_mappings_pair", oracle("ratings", "catalog", ctes=f"{USERS},\n{ITEMS}", select="""
+select 'user' as kind, user_id as key, user_idx as idx from users union all select 'item', game_title, game_idx from items"""))
+def sink_mappings_pair(spark, sf_dir):
+    """User and item indexes published together, first of half the keys and then of all."""
+    path = scratch_dir(spark, "mappings")
+    users = user_ids(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("user_idx").alias("idx"))
+    items = item_ids(spark, sf_dir).select(F.col("game_title").alias("key"), F.col("game_idx").alias("idx"))
+    files.publish_mappings(users.where("idx % 2 = 0"), items.where("idx % 2 = 0"), path)
+    files.publish_mappings(users, items, path)
+    return_users, return_items = files.newest_mappings(spark, path)
+    return return_users.select(F.lit("user").alias("kind"), "*").unionByName(return_items.select(F.lit("item").alias("kind"), "*"))
+
+
+def _probed(spark, sf_dir):
+    """Six sources: none, another format, no rows, mostly broken rows, few broken rows, and one that is not needed."""
+    base = scratch_dir(spark, "probe")
+    rows = _ratings(spark, sf_dir)
+
+    def broken(beyond):
+        return rows.withColumn("rating", F.when(F.col("rating") > beyond, F.lit("n/a")).otherwise(F.col("rating").cast("string")))
+    rows.write.parquet(f"{base}/junk")
+    files.write_csv(rows.where("false"), f"{base}/empty")
+    files.write_csv(broken(2.0), f"{base}/dirty")
+    files.write_csv(broken(9.0), f"{base}/good")
+    files.write_csv(rows, f"{base}/spare")
+    names = ("gone", "junk", "empty", "dirty", "good", "spare")
+    return probe.first_good(spark, {n: f"{base}/{n}" for n in names}, schemas.RATINGS, lambda: rows.where("false"), required=("user_id", "game_title"))
+
+
+@query("src_probe", oracle("ratings", ctes="""
+n as (select count(*) as total, count(*) filter (where rating > 2.0) as beyond_2, count(*) filter (where rating > 9.0) as beyond_9 from fx_ratings)""", select="""
+select 0 as place, 'gone' as source, 'missing' as verdict, null::bigint as n_good, null::bigint as n_bad from n
+union all select 1, 'junk', 'unreadable', null, null from n union all select 2, 'empty', 'empty', 0, 0 from n
+union all select 3, 'dirty', 'dirty', total - beyond_2, beyond_2 from n union all select 4, 'good', 'used', total - beyond_9, beyond_9 from n
+union all select 5, 'spare', 'untried', null, null from n"""))
+def src_probe(spark, sf_dir):
+    """What is found out about each of several sources before one is used."""
+    return _probed(spark, sf_dir).report
+
+
+@query("src_probe_rows", oracle("ratings", select="""
+select 'good' as source, user_id, game_title, round(rating, 6) as rating, 'kept' as kind from fx_ratings where rating is null or rating <= 9.0
+union all select 'good', user_id, game_title, null, 'apart' from fx_ratings where rating > 9.0
+union all select 'dirty', user_id, game_title, null, 'apart' from fx_ratings where rating > 2.0"""))
+def src_probe_rows(spark, sf_dir):
+    """The rows of the source that is used, and the broken rows of those that were parsed, kept apart."""
+    found = _probed(spark, sf_dir)
+    kept = _round(found.rows).select(F.lit("good").alias("source"), "user_id", "game_title", "rating", F.lit("kept").alias("kind"))
+    record = F.from_csv("record", "user_id string, game_title string, rating string", {"escape": '"'})
+    apart = found.bad.select("source", record.alias("r")).select("source", "r.user_id", "r.game_title", F.lit(None).cast("double").alias("rating"), F.lit("apart").alias("kind"))
+    return kept.unionByName(apart)

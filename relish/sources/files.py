@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from relish import schemas
 from relish.operators.lookup import dense_ids
+from relish.sources import artifacts
 
 MAPPING_CHUNK = 1000  # entries per written JSON object
 
@@ -84,6 +85,22 @@ def write_mapping(mapping: DataFrame, path: str) -> str:
     return path
 
 
+def publish_mappings(users: DataFrame, items: DataFrame, path: str) -> int:
+    """Publish both ``(key, idx)`` tables together, so that no reader pairs users of one state with items of another."""
+    def write(folder: str) -> None:
+        write_mapping(users, f"{folder}/users")
+        write_mapping(items, f"{folder}/items")
+    return artifacts.Artifact(users.sparkSession, path).publish(write)
+
+
+def newest_mappings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Users and items of the newest published pair."""
+    found = artifacts.Artifact(spark, path).newest()
+    if found is None:
+        raise FileNotFoundError(f"no mappings are published at {path}")
+    return read_mapping(spark, f"{found[1]}/users"), read_mapping(spark, f"{found[1]}/items")
+
+
 def first_available(candidates: Sequence[Callable[[], DataFrame]], inline: Callable[[], DataFrame]) -> DataFrame:
     """The first source whose path exists, else the inline rows."""
     for read in candidates:
@@ -96,6 +113,5 @@ def first_available(candidates: Sequence[Callable[[], DataFrame]], inline: Calla
 
 
 def materialize_if_missing(df: DataFrame, path: str) -> DataFrame:
-    """Write once; an artifact that exists is read and not rebuilt."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write once; an artifact that was published is read and not rebuilt, a half-written one does not count."""
+    return artifacts.once(df, path)
