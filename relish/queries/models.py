@@ -274,7 +274,7 @@ SMALL_SPACE = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [
 TITLE_BUCKET = "('0x'||substr(md5(title),1,8))::bigint"
 
 
-def _prepared(spark, sf_dir):
+def prepared(spark, sf_dir):
     rows = materialize(cleaning.prepare_catalog(warehouse.catalog(spark, sf_dir)), "prepared")
     test = split.tenths_test(F.col("title"))
     return rows, rows.where(~test), rows.where(test)
@@ -284,7 +284,7 @@ def _prepared(spark, sf_dir):
 select count(*) filter (where {TITLE_BUCKET} % 10 >= 2) as n_train, count(*) filter (where {TITLE_BUCKET} % 10 < 2) as n_test, true as in_range, true as has_error from prep"""))
 def rf_fit_eval(spark, sf_dir):
     """Forest fitted on the train titles; test predictions stay within the train scores."""
-    _, train, test = _prepared(spark, sf_dir)
+    _, train, test = prepared(spark, sf_dir)
     scored = forest.fit(train, **SMALL_FOREST).transform(test)
     edges = train.agg(F.min("user_score").alias("lo"), F.max("user_score").alias("hi"), F.count("*").alias("n")).first()
     inside = F.col("predicted_score").between(edges["lo"] - 1e-9, edges["hi"] + 1e-9)
@@ -297,7 +297,7 @@ def rf_fit_eval(spark, sf_dir):
 select 2 as n_draws, true as errors_positive, count(*) as n_scored from prep where {TITLE_BUCKET} % 10 < 2"""))
 def rf_random_search(spark, sf_dir):
     """Two random draws, three folds each; the best forest scores the test titles."""
-    _, train, test = _prepared(spark, sf_dir)
+    _, train, test = prepared(spark, sf_dir)
     model, errors = forest.random_search(train, SMALL_SPACE, draws=2, folds=3)
     return forest.score(model, test).agg(F.lit(len(errors)).alias("n_draws"), F.lit(all(e > 0 for e in errors)).alias("errors_positive"),
                                          F.count("predicted_score").alias("n_scored"))
@@ -308,7 +308,7 @@ def rf_random_search(spark, sf_dir):
 def rf_recommend(spark, sf_dir):
     """Five best-scored titles per request, none of them liked, scores falling, text as shown to the user."""
     from relish.plans import requests as R
-    rows, train, _ = _prepared(spark, sf_dir)
+    rows, train, _ = prepared(spark, sf_dir)
     scores = forest.score(forest.fit(train, **SMALL_FOREST), rows)
     asks = R.parse(warehouse.requests(spark, sf_dir)).select("event_id", "games")
     recs = forest.recommend(asks, scores).join(asks, "event_id")
@@ -327,7 +327,7 @@ union all select 'neural', (select count(*) from users) + (select count(*) from
 def model_roundtrip(spark, sf_dir):
     """Saved and loaded models give what the originals give."""
     from pyspark.ml import PipelineModel
-    _, train, test = _prepared(spark, sf_dir)
+    _, train, test = prepared(spark, sf_dir)
     model, path = forest.fit(train, **SMALL_FOREST), scratch_dir(spark, "forest")
     model.write().overwrite().save(path)
     both = forest.score(model, test).join(forest.score(PipelineModel.load(path), test).toDF("title", "again"), "title")
@@ -360,7 +360,7 @@ def model_compare(spark, sf_dir):
     users, items = user_ids(spark, sf_dir), item_ids(spark, sf_dir)
     model = train_small(spark, sf_dir)
     test = materialize(lookup.interactions(table.where("is_test"), users, items), "test")
-    _, train, held = _prepared(spark, sf_dir)
+    _, train, held = prepared(spark, sf_dir)
     scored = forest.fit(train, **SMALL_FOREST).transform(held)
     report = compare.report({
         "naive": naive.evaluate(table, F.col("is_test")),

@@ -173,9 +173,15 @@ answers as (select a.event_id, id, title, description from naive_answer a join r
   union all select event_id, id, title, description from vector_rows union all select * from vector_defaults
   union all select event_id, id, title, concat('Predicted Score: ', printf('%.2f', predicted_score)) from trad where id <= 5
   union all select * from no_games)"""
-DISPATCH_SQL = oracle("ratings", "requests", "catalog", "item_vectors",
-                      ctes=DIRTY + "," + PICKS + "," + NAIVE_ANSWER + "," + VECTOR_CTES + "," + PREP_CTE + "," + DISPATCH,
-                      select="select event_id, model_type as model_used, id, title, description from answers join req using (event_id)")
+
+
+def answers_oracle(more, last, select):
+    """SQL over ``answers``, with further CTEs before and behind them."""
+    return oracle("ratings", "requests", "catalog", "item_vectors", select=select,
+                  ctes=",".join(c for c in (DIRTY, more, PICKS, NAIVE_ANSWER, VECTOR_CTES, PREP_CTE, DISPATCH, last) if c))
+
+
+DISPATCH_SQL = answers_oracle("", "", "select event_id, model_type as model_used, id, title, description from answers join req using (event_id)")
 
 
 def serving_tables(spark, sf_dir):

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _local_base: str | None = None
 _shipped: set[str] = set()
 
@@ -28,8 +29,7 @@ def build_session(app: str = "relish", master: str | None = None, **conf: str) -
         "spark.sql.session.timeZone": "UTC",
         # one thread per Python worker: Spark already runs a worker per core
         "spark.executorEnv.OMP_NUM_THREADS": "1",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
         **conf,
     }
     for key, value in settings.items():

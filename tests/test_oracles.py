@@ -14,7 +14,7 @@ QUICK = ("naive_topn", "naive_exclude_ci", "variety_topn", "naive_eval", "catalo
          "neg_sample_eval", "sampled_rank_eval", "ncf_forward", "ncf_topn", "vec_recommend", "vec_explain", "naive_request",
          "dispatch_batch", "src_reviews_csv", "src_bulk_csv", "stream_rate_5s", "stream_item_mean", "split_exact_ratio",
          "last_rating_per_item", "one_hot_unknown", "feature_matrix", "valid_ratings", "rf_recommend")
-NAMES = tuple(entry.queries()) if os.environ.get("RELISH_ALL") else QUICK
+NAMES = tuple(registry.ORACLES) if os.environ.get("RELISH_ALL") else QUICK
 
 
 @pytest.fixture(scope="module")
