@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relish.functions import text
 from relish.operators.order import exact_median
 from relish.session import materialize
 
-MAX_COLUMNS = 10_000  # the widest table a pivot may produce, as Spark's own pivot limit
-
 
 def to_ratings(reviews: DataFrame) -> DataFrame:
     """Review dump to ``(user_id, game_title, rating)``; 0-100 becomes 0-10, NULL stays NULL."""
@@ -32,24 +32,14 @@ def impute_median(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), exact_median(df, column).scalar()))
 
 
-def vocabulary(df: DataFrame, column: Column) -> list[str]:
-    """Sorted distinct values that become columns; refuses to build an unbounded table."""
-    values = df.select(column.alias("v")).where("v is not null").distinct().limit(MAX_COLUMNS + 1).collect()
-    if len(values) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} distinct values; keep the long form")
-    return sorted(r["v"] for r in values)
-
-
-def widen_map(df: DataFrame, mapping: str, prefix: str) -> DataFrame:
-    """One integer column per map key, 0 where absent. Row-local, so no shuffle."""
-    keys = vocabulary(df, F.explode(F.map_keys(mapping)))
+def widen_map(df: DataFrame, mapping: str, prefix: str, keys: Sequence[str]) -> DataFrame:
+    """One integer column for each of the given map keys, 0 where absent. Row-local, so no shuffle."""
     return df.select("*", *[F.coalesce(F.try_element_at(mapping, F.lit(k)), F.lit(0)).cast("int").alias(prefix + k)
                             for k in keys])
 
 
-def widen_list(df: DataFrame, items: str, prefix: str) -> DataFrame:
-    """One 0/1 column per list member. Row-local, so no shuffle."""
-    keys = vocabulary(df, F.explode(items))
+def widen_list(df: DataFrame, items: str, prefix: str, keys: Sequence[str]) -> DataFrame:
+    """One 0/1 column for each of the given list members. Row-local, so no shuffle."""
     return df.select("*", *[F.array_contains(items, k).cast("int").alias(prefix + k) for k in keys])
 
 
@@ -60,16 +50,22 @@ def with_platform_scores(df: DataFrame, literal: str, name: str) -> DataFrame:
 
 
 def clean_catalog(catalog: DataFrame) -> DataFrame:
-    """Cleaned catalog for the neural recommender: fills, year, median score, wide genres and platforms."""
+    """Cleaned catalog for the neural recommender: fills, year, median score, a list of genres and a map of platform scores.
+
+    ``widen_catalog`` makes columns of the two; ``dictionary`` encodes them whatever the number of values.
+    """
     base = with_platform_scores(fill_catalog(catalog), "platforms_info", "_platforms").select(
         "title", "release_date", "product_rating", "publisher", "developer",
         F.coalesce(text.parse_year(F.col("release_date")), F.lit(0)).alias("release_year"),
         coerce_number(F.col("user_score")).alias("user_score"), "user_ratings_count",
-        text.clean_genres(F.col("genres")).alias("_genres"),
-        "_platforms")
-    filled = impute_median(materialize(base, "catalog"), "user_score")  # the passes below read it several times
-    wide = widen_map(widen_list(filled, "_genres", "genre_"), "_platforms", "platform_")
-    return wide.drop("_genres", "_platforms")
+        text.clean_genres(F.col("genres")).alias("genres"),
+        F.col("_platforms").alias("platforms"))
+    return impute_median(materialize(base, "catalog"), "user_score")
+
+
+def widen_catalog(cleaned: DataFrame, genres: Sequence[str], platforms: Sequence[str]) -> DataFrame:
+    """The cleaned catalog with a column for each of the given genres and platforms."""
+    return widen_map(widen_list(cleaned, "genres", "genre_", genres), "platforms", "platform_", platforms).drop("genres", "platforms")
 
 
 def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from relish import schemas
 from relish.functions import hashing, text
-from relish.operators import cleaning
+from relish.operators import cleaning, dictionary
 from relish.queries import oracle, query
 from relish.sources import warehouse
 
@@ -140,7 +140,8 @@ def platform_map(spark, sf_dir):
        + " from fx_catalog c left join plat_scores p on p.title = c.title group by c.title"))
 def platform_pivot(spark, sf_dir):
     rows = cleaning.with_platform_scores(warehouse.catalog(spark, sf_dir), "platforms_info", "m").select("title", "m")
-    return cleaning.widen_map(rows, "m", "platform_").drop("m")
+    names = dictionary.listed(dictionary.build(rows, F.map_keys("m")))
+    return cleaning.widen_map(rows, "m", "platform_", names).drop("m")
 
 
 @query("bucket_other", oracle("catalog", ctes="top as (select publisher from fx_catalog where publisher is not null group by publisher order by count(*) desc, publisher limit 20)",
@@ -165,7 +166,26 @@ CLEAN_SELECT = (f"select c.title, release_date, coalesce(product_rating, 'unknow
 
 @query("catalog_clean", oracle("catalog", ctes=PLATFORM_ROWS, select=CLEAN_SELECT))
 def catalog_clean(spark, sf_dir):
-    return cleaning.clean_catalog(warehouse.catalog(spark, sf_dir)).withColumn("user_score", F.round("user_score", 6))
+    rows = cleaning.clean_catalog(warehouse.catalog(spark, sf_dir))
+    genres, platforms = (dictionary.listed(dictionary.build(rows, c)) for c in (F.col("genres"), F.map_keys("platforms")))
+    return cleaning.widen_catalog(rows, genres, platforms).withColumn("user_score", F.round("user_score", 6))
+
+
+@query("catalog_sparse", oracle("catalog", ctes=PLATFORM_ROWS + f""",
+listed as (select title, unnest({GENRE_LIST}) as g from fx_catalog),
+codes as (select g, row_number() over (order by g) - 1 as code from (select distinct g from listed)),
+pcodes as (select platform, row_number() over (order by platform) - 1 as code from (select distinct platform from plat_scores))""", select="""
+select c.title, coalesce((select string_agg(code, '|' order by code) from (select distinct title, g from listed) l join codes using (g) where l.title = c.title), '') as genre_codes,
+       coalesce((select string_agg(concat(code, ':', score), '|' order by code) from plat_scores p join pcodes using (platform) where p.title = c.title), '') as platform_scores from fx_catalog c"""))
+def catalog_sparse(spark, sf_dir):
+    """Genres and platform scores of the cleaned catalog by code, for any number of them."""
+    rows = cleaning.clean_catalog(warehouse.catalog(spark, sf_dir))
+    genres = dictionary.encode(rows, "title", "genres", dictionary.build(rows, F.col("genres")))
+    scores = rows.select("title", F.explode("platforms").alias("value", "score"))
+    scores = scores.join(dictionary.build(rows, F.map_keys("platforms")), "value").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("code", "score"))).alias("p"))
+    return rows.select("title").join(genres, "title").join(scores, "title", "left").select(
+        "title", F.array_join("codes", "|").alias("genre_codes"),
+        F.coalesce(F.array_join(F.transform("p", lambda s: F.concat_ws(":", s["code"], s["score"])), "|"), F.lit("")).alias("platform_scores"))
 
 
 PREP_CTE = f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from relish import schemas
 from relish.functions import hashing, text
-from relish.operators import cleaning, features
+from relish.operators import cleaning, dictionary, features
 from relish.queries import oracle, query
 from relish.queries.cleaning import GENRE_LIST, GENRES, PREP_CTE, YEAR
 from relish.sources import warehouse
@@ -23,14 +23,14 @@ def prepared(spark, sf_dir):
        + ", ".join(f"cast(list_contains({GENRE_LIST}, '{g}') as integer) as \"genre_{g}\"" for g in GENRES) + " from fx_catalog"))
 def multi_hot(spark, sf_dir):
     rows = warehouse.catalog(spark, sf_dir).select("title", text.clean_genres(F.col("genres")).alias("g"))
-    return cleaning.widen_list(rows, "g", "genre_").drop("g")
+    return cleaning.widen_list(rows, "g", "genre_", dictionary.listed(dictionary.build(rows, F.col("g")))).drop("g")
 
 
 @query("one_hot", oracle("catalog", ctes=PREP_CTE, select="select title, "
        + ", ".join(f"cast(product_rating = '{r}' as integer) as \"product_rating_{r}\"" for r in RATING_TYPES) + " from prep"))
 def one_hot(spark, sf_dir):
     rows = prepared(spark, sf_dir).select("title", F.array("product_rating").alias("r"))
-    return cleaning.widen_list(rows, "r", "product_rating_").drop("r")
+    return cleaning.widen_list(rows, "r", "product_rating_", dictionary.listed(dictionary.build(rows, F.col("r")))).drop("r")
 
 
 @query("one_hot_unknown", oracle("catalog", ctes=PREP_CTE + f""",
@@ -64,6 +64,21 @@ def feature_matrix(spark, sf_dir):
                          F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"), F.col("user_score").alias("target"))
 
 
+@query("feature_matrix_sparse", oracle("catalog", ctes=PREP_CTE + """,
+entries as (select distinct 0 as kind, title, unnest(genres) as value from prep union select 1, title, product_rating from prep
+            union select 2, title, publisher from prep union select 3, title, developer from prep),
+places as (select kind, value, 2 + row_number() over (order by kind, value) as place from (select distinct kind, value from entries)),
+ones as (select title, string_agg(place, '|' order by place) as ones from entries join places using (kind, value) group by title)""", select="""
+select title, 3 + (select count(*) from places) as n_features, round(release_year + log_ratings_count + game_age, 6) as numeric_sum, ones from prep join ones using (title)"""))
+def feature_matrix_sparse(spark, sf_dir):
+    """The matrix as sparse vectors whose places are fixed by value, built without the driver."""
+    rows = prepared(spark, sf_dir)
+    matrix = features.sparse_encoder(rows).transform(rows).select("title", vector_to_array("features").alias("f"))
+    ones = F.filter(F.sequence(F.lit(3), F.size("f") - 1), lambda i: F.get("f", i) == 1.0)
+    return matrix.select("title", F.size("f").cast("bigint").alias("n_features"), F.round(F.get("f", 0) + F.get("f", 1) + F.get("f", 2), 6).alias("numeric_sum"),
+                         F.array_join(ones, "|").alias("ones"))
+
+
 @query("title_features", oracle("requests", "catalog", ctes="asked as (select event_id, json_extract_string(body, '$.games[0]') as asked from fx_requests)", select=f"""
 select event_id, title, {YEAR} as release_year, round(ln(1 + user_ratings_count), 6) as log_ratings_count, cast(2025 - {YEAR} as integer) as game_age,
        coalesce(len(regexp_split_to_array(lower(genres), ',\\s*')), 0) as n_genres
