@@ -7,7 +7,7 @@ can state every number; the training queries report what must hold for a learned
 from pyspark.sql import functions as F
 
 from relish.functions.hashing import bucket
-from relish.operators import cleaning, forest, lookup, metrics, ncf, ncf_train, sampling, split
+from relish.operators import cleaning, features, forest, lookup, metrics, ncf, ncf_train, sampling, split
 from relish.operators.ncf_kernels import flatten
 from relish.operators.order import dense_positions
 from relish.queries import oracle, query
@@ -270,7 +270,7 @@ def route_recommend(spark, sf_dir):
 # --- random forest -------------------------------------------------------------------
 
 SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
-SMALL_SPACE = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["auto", "sqrt", "0.5"]}
+SMALL_SPACE = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["auto", "sqrt", "0.5"], "minRowsToSplit": [2, 5, 10]}
 TITLE_BUCKET = "('0x'||substr(md5(title),1,8))::bigint"
 
 
@@ -303,6 +303,27 @@ def rf_random_search(spark, sf_dir):
                                          F.count("predicted_score").alias("n_scored"))
 
 
+@query("rf_min_split", oracle("catalog", ctes=PREP_CTE, select=f"""
+select least, 0 as n_small_inner, true as is_smaller, count(*) as n_scored, 0 as n_different
+from prep, (select unnest([5, 40]) as least) where {TITLE_BUCKET} % 10 < 2 group by least"""))
+def rf_min_split(spark, sf_dir):
+    """Forests with a least number of rows for a split; their scores are worked out once more on the table of nodes."""
+    _, train, test = prepared(spark, sf_dir)
+    encoder = features.sparse_encoder(train)
+    rows, held = encoder.transform(train), encoder.transform(test)
+    whole, out = forest.forest(numTrees=5, maxDepth=8).fit(rows), None
+    for least in (5, 40):
+        model, path = forest.forest(numTrees=5, maxDepth=8, minRowsToSplit=least).fit(rows), scratch_dir(spark, "cut")
+        model.write().save(path)
+        nodes = forest.nodes_of(spark, path)
+        small = nodes.where((F.col("left") >= 0) & (F.col("rows") < least)).count()
+        both = model.transform(held).select("title", "predicted_score").join(forest.scores_by_nodes(held, nodes).toDF("title", "again"), "title")
+        row = both.agg(F.lit(least).alias("least"), F.lit(small).alias("n_small_inner"), F.lit(model.totalNumNodes < whole.totalNumNodes).alias("is_smaller"),
+                       F.count("*").alias("n_scored"), F.count_if(F.abs(F.col("predicted_score") - F.col("again")) > 1e-9).cast("int").alias("n_different"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("rf_recommend", oracle("requests", ctes="asks as (select event_id, cast(json_extract(body, '$.games') as varchar[]) as games from fx_requests)",
                               select="select event_id, 5 as n_recs, 0 as n_liked, true as in_order, true as well_formed from asks"))
 def rf_recommend(spark, sf_dir):

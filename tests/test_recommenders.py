@@ -162,3 +162,38 @@ def test_naive_evaluation_against_brute_force(spark):
         dcg = [sum(x / np.log2(i + 2) for i, x in enumerate(h)) for h in (hit, sorted(hit, reverse=True))]
         ndcgs.append(dcg[0] / (dcg[1] or 1))
     assert np.isclose(got["mse"], np.mean(err)) and np.isclose(got["map_k"], np.mean(aps)) and np.isclose(got["ndcg_k"], np.mean(ndcgs))
+
+
+def test_pruned_forests(spark):
+    """No inner node under the minimum, everything else as it was, scores as walked by a plain loop."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+    from relish.session import scratch_dir
+    rows = spark.createDataFrame([(f"t{i}", Vectors.dense(i % 13, (i * 7) % 11, i % 2), float((i * 31) % 17)) for i in range(300)], ["title", "features", "user_score"])
+    whole = forest.forest(numTrees=3, maxDepth=7).fit(rows)
+    tables = {}
+    for least in (2, 15, 60, 1000):
+        model, path = forest.forest(numTrees=3, maxDepth=7, minRowsToSplit=least).fit(rows), scratch_dir(spark, "f")
+        model.write().save(path)
+        nodes = forest.nodes_of(spark, path).collect()
+        tables[least] = {(n.treeID, n.id): n for n in nodes}
+        assert all(n.rows >= least for n in nodes if n.left >= 0) and len(nodes) == model.totalNumNodes
+        walked = {r.title: r.predicted_score for r in forest.scores_by_nodes(rows, forest.nodes_of(spark, path)).collect()}
+        for r in model.transform(rows).select("title", vector_to_array("features").alias("f"), "predicted_score").collect():
+            total = 0.0
+            for tree in range(3):
+                n = tables[least][tree, 0]
+                while n.left >= 0:
+                    n = tables[least][tree, n.left if r.f[n.feature] <= n.threshold else n.right]
+                total += n.prediction / 3
+            assert abs(total - r.predicted_score) < 1e-9 and abs(walked[r.title] - total) < 1e-9
+    assert len(tables[2]) == whole.totalNumNodes > len(tables[15]) > len(tables[60]) > len(tables[1000]) == 3
+
+
+def test_search_over_the_least_rows_of_a_split(spark):
+    rows = spark.range(150).selectExpr("concat('t', id) as title", "array(concat('g', id % 3)) as genres", "concat('r', id % 2) as product_rating", "concat('p', id % 3) as publisher",
+                                       "concat('d', id % 2) as developer", "cast(id % 5 as double) as user_score", "cast(2000 + id % 9 as int) as release_year",
+                                       "cast(id as double) as log_ratings_count", "cast(25 - id % 9 as int) as game_age")
+    model, errors = forest.random_search(rows, {"numTrees": [2], "maxDepth": [4], "minRowsToSplit": [2, 40, 200]}, draws=3, folds=2)
+    assert len(errors) == 3 and forest.score(model, rows).count() == 150
+    assert forest.SEARCH_SPACE["minRowsToSplit"] == [2, 5, 10]
