@@ -12,8 +12,10 @@ So in any one order of all tokens, their first ``n - ceil(percent * n / 100) + k
    tokens then stand side by side in both sets, and these 2-token combinations are indexed.
 
 Sets under one key are candidates.  As links make groups, each round verifies candidates against one leader of a key only
-and joins groups, as far as two steps from node to node show them; pairs still of different groups at the end are all
-verified.  Before that, each set's parities bound a pair from below: of 512 classes of tokens, those of which the two sets
+and joins groups, as far as two steps from node to node show them.  The first leader is the key's most central set, whose
+tokens are the most frequent: in a family of copies the one that was changed least, which most of the others are similar
+to.  Leaders from outside and from inside the largest group follow by turns.  Pairs of different groups that are left are
+all verified, save that no two members of a key's largest group are paired.  Before that, each set's parities bound a pair from below: of 512 classes of tokens, those of which the two sets
 hold an odd and an even number have a token of one side alone.  Verifying counts the common tokens of the whole sets.  Sets
 and tokens are 64-bit hashes.
 """
@@ -115,22 +117,25 @@ def _index(ranked: DataFrame, percent: int, frequent: int) -> DataFrame:
     """Keys of each set: ``kind`` 1 rare tokens, 2 combinations of neighbouring frequent ones; ``place`` in the order.
 
     The first ``alone`` places of a set are tokens that no other set has; ``before`` is the set's previous key of the kind.
+    ``central`` is the mean number of sets that hold a token of the set: in a family of copies it is highest for those that
+    were changed least.
     """
     n = F.col("n")
     alone = (n - F.size("shared")).cast("long")
     rare = F.size(F.filter("shared", lambda s: s["df"] <= frequent))
     plain = plain_prefix(n, percent)
     placed = F.transform("shared", lambda s, i: F.struct(s["token"].alias("token"), (i + F.col("alone")).alias("place")))
-    base = (ranked.withColumn("alone", alone).withColumn("rare", rare.cast("long")).withColumn("plain", plain)
+    central = (F.aggregate("shared", F.lit(0).cast("long"), lambda total, s: total + s["df"]) + alone) / n
+    base = (ranked.withColumn("alone", alone).withColumn("central", central).withColumn("rare", rare.cast("long")).withColumn("plain", plain)
             .withColumn("far", F.least(n, F.lit(2) * plain - 1 + plain_prefix(F.floor(n * 100 / percent), percent))).withColumn("placed", placed))
-    singles = base.select("set_id", "n", "alone", F.lit(1).alias("kind"), (F.slice("placed", F.lit(1), F.greatest(F.lit(0), F.least(F.col("rare"), F.col("plain") - F.col("alone"))).cast("int"))).alias("keys"))
+    singles = base.select("set_id", "n", "alone", "central", F.lit(1).alias("kind"), (F.slice("placed", F.lit(1), F.greatest(F.lit(0), F.least(F.col("rare"), F.col("plain") - F.col("alone"))).cast("int"))).alias("keys"))
     chained = base.filter(F.col("alone") + F.col("rare") < F.col("plain")).withColumn(
         "run", F.slice("placed", (F.col("rare") + 1).cast("int"), F.greatest(F.lit(0), F.col("far") - F.col("alone") - F.col("rare")).cast("int")))
     pairs = F.zip_with(F.slice("run", F.lit(1), F.greatest(F.lit(0), F.size("run") - 1)), F.slice("run", F.lit(2), F.greatest(F.lit(0), F.size("run") - 1)),
                        lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("token"), x["place"].alias("place")))
-    chains = chained.select("set_id", "n", "alone", F.lit(2).alias("kind"), pairs.alias("keys"))
+    chains = chained.select("set_id", "n", "alone", "central", F.lit(2).alias("kind"), pairs.alias("keys"))
     ordered = F.transform("keys", lambda key, i: F.struct(key["token"].alias("gram"), key["place"].alias("place"), F.get("keys", i - 1)["token"].alias("before")))
-    return singles.unionByName(chains).select("set_id", "n", "alone", "kind", F.inline(ordered))
+    return singles.unionByName(chains).select("set_id", "n", "alone", "central", "kind", F.inline(ordered))
 
 
 def _without_twins(index: DataFrame) -> DataFrame:
@@ -175,45 +180,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join the same groups as all links do."""
     spark = index.sparkSession
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
+    tested = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("linked"))
     labels = index.select(F.col("set_id").alias("node"), F.col("set_id").alias("label")).limit(0)
+    key = ["kind", "gram"]
 
     def labelled() -> DataFrame:
-        named = index.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id"))
-        key = Window.partitionBy("kind", "gram")
-        return named.drop("node").withColumn("mixed", F.min("label").over(key) != F.max("label").over(key)).filter("mixed").drop("mixed")
-
-    def test(pairs: DataFrame) -> None:
+        """Entries of the keys under which sets of different groups stand."""
+        named = index.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id")).drop("node")
+        mixed = named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+        return named.join(mixed.select(key), key, "left_semi")
+
+    def grouped(entries: DataFrame, best: Column) -> DataFrame:
+        """Size and best entry of each group under a key."""
+        entry = F.struct("set_id", "n", "alone", "place", "label")
+        return entries.groupBy(*key, "label").agg(F.count("*").alias("m"), F.max(F.struct(best.alias("by"), entry.alias("entry"))).alias("best"))
+
+    def test(pairs: DataFrame) -> bool:
+        """Verify pairs that were not verified before; whether one of them is a link."""
         nonlocal tested
         fresh = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
         found = materialize(_verified(fresh.join(tested, ["a", "b"], "left_anti"), sets, percent), "verified")
         tested = tested.unionByName(found)
+        return not found.filter("linked").isEmpty()
 
+    idle = 0
     entry = F.struct("set_id", "n", "alone", "place", "label")
-    before = float("inf")
     for turn in range(LEADER_ROUNDS):
         open_keys = materialize(labelled(), "open_keys")
+        # first the most central set of a key, then by turns the most central one outside its largest group and some member of that
+        inside = turn and turn % 2 == 0
+        groups = materialize(grouped(open_keys, F.xxhash64("set_id", F.lit(turn)).cast("double") if inside else F.col("central")), "groups")
         # pairs of different groups under one key, against the number of entries
-        sizes = open_keys.groupBy("kind", "gram", "label").agg(F.count("*").alias("m")).groupBy("kind", "gram").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner"))
+        sizes = groups.groupBy(key).agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner"))
         entries, cross = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2), F.lit(0.0))).first()
-        if cross <= entries / 2 or cross > 0.7 * before:  # leaders no longer settle much
+        if cross <= entries / 2 or idle == 2:  # neither kind of leader finds anything any more
             break
-        before = cross
-        # at first one leader for all keys, as far as they share it; then a member of each key's largest group, another for each key
-        largest = F.count("*").over(Window.partitionBy("kind", "gram", "label")) if turn else F.lit(1)
-        by = [F.desc("size"), F.xxhash64("set_id", "gram", F.lit(turn))] if turn else [F.xxhash64("set_id")]
-        first = F.first(entry).over(Window.partitionBy("kind", "gram").orderBy(*by, "set_id"))
-        led = open_keys.withColumn("size", largest).select("kind", entry.alias("x"), first.alias("y"))
-        test(led.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)))
+        largest = groups.groupBy(key).agg(F.max(F.struct("m", "best")).alias("largest"))
+        if turn == 0:
+            leaders = groups.groupBy(key).agg(F.max("best.by").alias("by"), F.max_by("best.entry", "best").alias("y"))
+        elif inside:
+            leaders = largest.select(*key, F.col("largest.best.entry").alias("y"))
+        else:
+            outside = groups.join(largest, key).filter(F.col("label") != F.col("largest.best.entry.label"))
+            leaders = outside.groupBy(key).agg(F.max_by("best.entry", "best").alias("y"))
+        led = open_keys.select(*key, entry.alias("x")).join(leaders.select(*key, "y"), key)
+        idle = 0 if test(led.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent))) else idle + 1
         labels = components(tested.filter("linked"), rounds=2)
     odd = sets.select(F.col("set_id").alias("of_set"), "odd")
     rest = materialize(labelled().join(odd, F.col("set_id") == F.col("of_set")).drop("of_set"), "open_keys")
-    entry = F.struct("set_id", "n", "alone", "place", "label", "before", "odd")
-    left, right = rest.select("kind", "gram", entry.alias("x")), rest.select("kind", "gram", entry.alias("y"))
+    # members of a key's largest group are not paired with each other: one side is always a set outside it
+    largest = grouped(rest, F.lit(0.0)).groupBy(key).agg(F.max(F.struct("m", "best"))["best"]["entry"]["label"].alias("main"))
+    rest = materialize(rest.join(largest, key), "rest")
+    entry = F.struct("set_id", "n", "alone", "place", "label", "before", "odd", "main")
+    left, right = rest.filter(F.col("label") != F.col("main")).select(*key, entry.alias("x")), rest.select(*key, entry.alias("y"))
     allowed = _may_link("x", "y", percent) & _parities_allow(F.col("x.n"), F.col("x.odd"), F.col("y.n"), F.col("y.odd"), percent)
     # two sets whose previous keys are one key have met there, or under a twin of it that comes still earlier
     met = F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
-    test(left.join(right, ["kind", "gram"]).filter((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.label") != F.col("y.label")) & ~met & allowed))
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.set_id") < F.col("y.set_id"))
+    test(left.join(right, key).filter(once & (F.col("x.label") != F.col("y.label")) & ~met & allowed))
     return tested.filter("linked").select("a", "b")
 
 

@@ -316,3 +316,27 @@ def test_revisits(spark):
                    13: (None, "no_response", None), 14: (None, "no_response", None), 15: (None, "no_validator", None)}
     empty = spark.createDataFrame([], schema)
     assert revisits.resolve_revisits(empty, empty).count() == 0
+
+
+def test_pairs_grow_with_a_family_not_with_its_square(spark, words, monkeypatch):
+    """Copies of one text with up to eight changed words: twice the copies need about twice the verified pairs."""
+    verified, real = [], jaccard_join._verified
+
+    def counting(pairs, sets, percent):
+        verified.append(pairs.count())
+        return real(pairs, sets, percent)
+    monkeypatch.setattr(jaccard_join, "_verified", counting)
+    base, made = text_of(words, 120, 6).split(), {}
+    for size in (150, 300, 600):
+        docs = {}
+        for i in range(size):
+            r, own = random.Random(i), list(base)
+            for _ in range(r.randrange(9)):
+                own[r.randrange(len(own))] = f"w{r.randrange(10**6)}"
+            docs[i] = " ".join(own)
+        verified.clear()
+        got = {r.doc_id: r.component_id for r in jaccard_join.near_groups(frame(spark, docs), frequent=16).collect()}
+        made[size] = sum(verified)
+        if size == 150:
+            assert got == {k: c for k, (_, c) in plain.near_groups(docs).items()}
+    assert made[300] <= 3 * made[150] and made[600] <= 3 * made[300]
