@@ -73,8 +73,7 @@ def src_single_csv(spark, sf_dir):
 @query("src_titles_json", oracle("catalog", select="select distinct title from fx_catalog"))
 def src_titles_json(spark, sf_dir):
     path = files.write_titles(warehouse.catalog(spark, sf_dir).select("title"), scratch_dir(spark, "titles"))
-    objects = spark.read.schema(schemas.TITLE_LIST).json(path)
-    return objects.select(F.explode("gameTitles").alias("title"))
+    return files.read_titles(spark, path, whole_file=False)
 
 
 @query("src_mapping_json", oracle("catalog", ctes=ITEMS, select="select game_title as key, game_idx as idx from items"))

@@ -57,9 +57,9 @@ def push(df: DataFrame, base: str, name: str, key: str | None = None) -> str:
     return path
 
 
-def read_titles(spark: SparkSession, path: str) -> DataFrame:
-    """Titles of every ``{"gameTitles": [...]}`` object."""
-    objects = spark.read.schema(schemas.TITLE_LIST).option("multiLine", True).json(path)
+def read_titles(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """Titles of every ``{"gameTitles": [...]}`` object: one a file, over many lines, or one a line."""
+    objects = spark.read.schema(schemas.TITLE_LIST).option("multiLine", whole_file).json(path)
     return objects.select(F.explode("gameTitles").alias("title"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from relish.functions import wording
-from relish.operators import blocks, forest, popularity, similarity
+from relish.operators import blocks, forest, ncf, popularity, similarity
 from relish.operators.features import feature_stages
 from relish.plans import naive, requests as R, routing
 
@@ -77,6 +77,36 @@ def test_blocks_equal_brute_force(spark, monkeypatch):
     assert got == {(u, k + 1): int(best[u, k]) for u in range(90) for k in range(3)}
 
 
+def test_blocks_that_cannot_win_are_passed_over():
+    """The same lists with and without bounds, ties and empty lists included; blocks are skipped and rows leave blocks early."""
+    rng = np.random.default_rng(5)
+    dense = ncf.hash_dense(4, (6, 5))
+    left = rng.normal(size=(40, 8))
+    blocks_of = []
+    for b in range(12):  # shorter and shorter vectors, every third block repeated, so that scores tie
+        vectors = rng.normal(size=(25, 8)) * 4.0 / (b + 1) if b % 3 else (blocks_of[-1][1] if blocks_of else rng.normal(size=(25, 8)) * 4)
+        blocks_of.append((np.arange(25) * 12 + b, vectors))
+    keep, cells = rng.integers(0, 6, 40), {}
+    for name, bound in (("all", None), ("bounded", dense.bounds)):
+        cells[name] = 0
+
+        def kernel(a, b):
+            cells[name] += len(a) * len(b)
+            return dense.all_pairs(a, b)
+        found = blocks.search(left, keep, blocks_of, kernel, bound)
+        got = sorted(zip(found.rows.tolist(), np.round(-found.scores, 9).tolist(), found.items.tolist()))
+        numbers, vectors = (np.concatenate(x) for x in zip(*blocks_of))
+        scores = dense.all_pairs(left, vectors)
+        want = [(r, round(-scores[r, c], 9), int(numbers[c])) for r in range(40) for c in np.lexsort((numbers, -scores[r]))[: keep[r]]]
+        assert got == sorted(want)
+    assert cells["bounded"] < 0.7 * cells["all"]
+    for _, vectors in blocks_of:
+        assert (dense.bounds(left, vectors) + 1e-9 >= dense.all_pairs(left, vectors).max(axis=1)).all()
+        salted = np.hstack([vectors, rng.integers(0, 1 << 24, (25, 1))])
+        people = np.hstack([left, rng.integers(0, 1 << 24, (40, 1))])
+        assert (similarity.cosine_bounds(people, salted) + 1e-9 >= similarity.jittered_cosine(people, salted).max(axis=1)).all()
+
+
 def items(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.1]), ("d", [0.1, 1.0]), ("e", [0.5, 0.5]), ("z", [0.0, 0.0])]
     return spark.createDataFrame([(t, t.upper(), v, f"about {t}") for t, v in rows], "item string, title string, vec array<double>, description string")
