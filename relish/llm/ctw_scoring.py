@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,7 +102,7 @@ def ask(depth: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         fresh: dict[bool, list[np.ndarray]] = {True: [], False: []}
         held = 0
-        words: dict[bytes, int] = {}
+        words: Counter[bytes] = Counter()
 
         def settle() -> None:
             nonlocal held
@@ -119,9 +120,12 @@ def ask(depth: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
             held += len(body)
             if held > 1 << 22:
                 settle()
-            step = int(learned)
-            for w in (*WORD.findall(body.tobytes()), b""):  # the end is the word without letters
-                words[w] = words.get(w, 0) + step
+            spelled = [*WORD.findall(body.tobytes()), b""]  # the end is the word without letters
+            if learned:
+                words.update(spelled)
+            else:
+                for w in set(spelled):
+                    words.setdefault(w, 0)
         settle()
         keys, counts = _merged(found)
         bucket = bucket_of_contexts(keys >> (8 * (depth - TOP) + 8), buckets)
@@ -297,7 +301,7 @@ def _score(depth: int, total: int, distinct: int) -> Callable[[pa.Table, pa.Tabl
         for train, body in zip(texts.column("train").to_pylist(), _bodies(texts), strict=True):
             words = WORD.findall(body.tobytes())
             words.append(b"")
-            score = float(logp[np.searchsorted(every, grams(body, depth))].sum())
+            score = float(logp[np.searchsorted(every, np.sort(grams(body, depth)))].sum())  # in order, neighbours are looked up together
             out.append((not train, len(words), sum(map(known.__contains__, words)), total, sum(map(base.__getitem__, words)), score, len(body)))
         kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
