@@ -68,7 +68,7 @@ def _sets(shingle: int, percent: int, whole: bool) -> Callable[[Iterator[pa.Reco
         seen: set[int] = set()
         for batch in batches:
             ids, sizes, tokens, odd = [], [], [], []
-            if len(seen) > 1_000_000:
+            if len(seen) > 1 << 18:
                 seen.clear()
             for data in arrowtext.texts(batch, "text"):
                 found = texthash.shingle_set(data, shingle)
@@ -196,12 +196,13 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return entries.groupBy(*key, "label").agg(F.count("*").alias("m"), F.max(F.struct(best.alias("by"), entry.alias("entry"))).alias("best"))
 
     def test(pairs: DataFrame) -> bool:
-        """Verify pairs that were not verified before; whether one of them is a link."""
+        """Verify pairs that were not verified before; whether a sixteenth of them are links."""
         nonlocal tested
         fresh = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
         found = materialize(_verified(fresh.join(tested, ["a", "b"], "left_anti"), sets, percent), "verified")
         tested = tested.unionByName(found)
-        return not found.filter("linked").isEmpty()
+        n, links = found.agg(F.count("*"), F.count_if("linked")).first()
+        return 16 * links > n
 
     idle = 0
     entry = F.struct("set_id", "n", "alone", "place", "label")
@@ -213,7 +214,7 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         # pairs of different groups under one key, against the number of entries
         sizes = groups.groupBy(key).agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner"))
         entries, cross = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2), F.lit(0.0))).first()
-        if cross <= entries / 2 or idle == 2:  # neither kind of leader finds anything any more
+        if cross <= entries / 2 or idle == 2:  # neither kind of leader finds much any more
             break
         largest = groups.groupBy(key).agg(F.max(F.struct("m", "best")).alias("largest"))
         if turn == 0:
@@ -226,6 +227,7 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         led = open_keys.select(*key, entry.alias("x")).join(leaders.select(*key, "y"), key)
         idle = 0 if test(led.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent))) else idle + 1
         labels = components(tested.filter("linked"), rounds=2)
+    labels = components(tested.filter("linked"))
     odd = sets.select(F.col("set_id").alias("of_set"), "odd")
     rest = materialize(labelled().join(odd, F.col("set_id") == F.col("of_set")).drop("of_set"), "open_keys")
     # members of a key's largest group are not paired with each other: one side is always a set outside it

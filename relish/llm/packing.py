@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from relish.session import materialize
 
-#: spellings a worker keeps the ids of, over all tasks it runs; beyond that it starts anew
-KEPT_WORDS = 800_000
+#: spellings a worker keeps the ids of, over all tasks it runs: so many lately used ones, and as many used before those
+KEPT_WORDS = 200_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, task int, place long"
 
 
@@ -42,26 +42,46 @@ def cut(n: int, sizes: list[int]) -> list[int]:
     return out
 
 
-def token_ids(texts: list[str], encode: Callable[[list[str]], list[list[int]]], known: dict[str, bytes]) -> Iterator[bytes]:
+class Known:
+    """Ids of spellings in two generations: a full young one becomes the old one, and what is asked for again moves on."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Words in neither generation; the others are in the young one from now on."""
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                ids = old.get(w)
+                if ids is None:
+                    out.append(w)
+                else:
+                    young[w] = ids
+        return out
+
+
+def token_ids(texts: list[str], encode: Callable[[list[str]], list[list[int]]], known: Known) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text.
 
     The tokenizer never lets a token cross white space, so words between blanks are encoded once and looked up after.
     """
     for text in texts:
         parts = text.replace("\n", " ").split(" ")
-        fresh = list({w for w in parts if w not in known})
+        fresh = known.missing(set(parts))
         if fresh:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                fresh = list(set(parts))
-            known.update((w, np.array(ids, dtype="<u4").tobytes()) for w, ids in zip(fresh, encode(fresh), strict=True))
-        yield b"".join([known[w] for w in parts])
+            known.young.update((w, np.array(ids, dtype="<u4").tobytes()) for w, ids in zip(fresh, encode(fresh), strict=True))
+        ids = known.young
+        yield b"".join([ids[w] for w in parts])
 
 
-_loaded: dict[str, tuple[Callable[[list[str]], list[list[int]]], dict[str, bytes]]] = {}
+_loaded: dict[str, tuple[Callable[[list[str]], list[list[int]]], Known]] = {}
 
 
-def _encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str, bytes]]:
+def _encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], Known]:
     """The tokenizer and the words known so far, once for each worker."""
     if path not in _loaded:
         import os
@@ -70,7 +90,7 @@ def _encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[st
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        _loaded[path] = (lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]), {}
+        _loaded[path] = (lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]), Known()
     return _loaded[path]
 
 
