@@ -33,7 +33,7 @@ from relish.llm.components import components
 from relish.session import materialize
 
 #: rounds of leaders before the remaining pairs are verified one and all
-LEADER_ROUNDS = 8
+LEADER_ROUNDS = 4
 #: 64-bit words of a set's parities
 PARITY_WORDS = 8
 
@@ -135,7 +135,7 @@ def _index(ranked: DataFrame, percent: int, frequent: int) -> DataFrame:
                        lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("token"), x["place"].alias("place")))
     chains = chained.select("set_id", "n", "alone", "central", F.lit(2).alias("kind"), pairs.alias("keys"))
     ordered = F.transform("keys", lambda key, i: F.struct(key["token"].alias("gram"), key["place"].alias("place"), F.get("keys", i - 1)["token"].alias("before")))
-    return singles.unionByName(chains).select("set_id", "n", "alone", "central", "kind", F.inline(ordered))
+    return singles.unionByName(chains).select("set_id", "n", "alone", "central", "kind", F.size("keys").alias("n_keys"), F.inline(ordered))
 
 
 def _without_twins(index: DataFrame) -> DataFrame:
@@ -184,11 +184,8 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     labels = index.select(F.col("set_id").alias("node"), F.col("set_id").alias("label")).limit(0)
     key = ["kind", "gram"]
 
-    def labelled() -> DataFrame:
-        """Entries of the keys under which sets of different groups stand."""
-        named = index.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id")).drop("node")
-        mixed = named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        return named.join(mixed.select(key), key, "left_semi")
+    def labelled(entries: DataFrame) -> DataFrame:
+        return entries.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id")).drop("node")
 
     def grouped(entries: DataFrame, best: Column) -> DataFrame:
         """Size and best entry of each group under a key."""
@@ -196,40 +193,44 @@ def _links(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return entries.groupBy(*key, "label").agg(F.count("*").alias("m"), F.max(F.struct(best.alias("by"), entry.alias("entry"))).alias("best"))
 
     def test(pairs: DataFrame) -> bool:
-        """Verify pairs that were not verified before; whether a sixteenth of them are links."""
+        """Verify pairs that were not verified before; whether a quarter of them are links."""
         nonlocal tested
         fresh = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
         found = materialize(_verified(fresh.join(tested, ["a", "b"], "left_anti"), sets, percent), "verified")
         tested = tested.unionByName(found)
         n, links = found.agg(F.count("*"), F.count_if("linked")).first()
-        return 16 * links > n
+        return 4 * links > n
 
     idle = 0
     entry = F.struct("set_id", "n", "alone", "place", "label")
     for turn in range(LEADER_ROUNDS):
-        open_keys = materialize(labelled(), "open_keys")
         # first the most central set of a key, then by turns the most central one outside its largest group and some member of that
         inside = turn and turn % 2 == 0
-        groups = materialize(grouped(open_keys, F.xxhash64("set_id", F.lit(turn)).cast("double") if inside else F.col("central")), "groups")
-        # pairs of different groups under one key, against the number of entries
-        sizes = groups.groupBy(key).agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner"))
+        groups = materialize(grouped(labelled(index), F.xxhash64("set_id", F.lit(turn)).cast("double") if inside else F.col("central")), "groups")
+        # pairs of different groups under one key, against the number of entries under keys of several groups
+        sizes = groups.groupBy(key).agg(F.count("*").alias("labels"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner")).filter("labels > 1")
         entries, cross = sizes.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2), F.lit(0.0))).first()
         if cross <= entries / 2 or idle == 2:  # neither kind of leader finds much any more
             break
-        largest = groups.groupBy(key).agg(F.max(F.struct("m", "best")).alias("largest"))
+        largest = groups.groupBy(key).agg(F.count("*").alias("labels"), F.max(F.struct("m", "best")).alias("largest")).filter("labels > 1")
         if turn == 0:
-            leaders = groups.groupBy(key).agg(F.max("best.by").alias("by"), F.max_by("best.entry", "best").alias("y"))
+            leaders = groups.groupBy(key).agg(F.count("*").alias("labels"), F.max_by("best.entry", "best").alias("y")).filter("labels > 1")
         elif inside:
             leaders = largest.select(*key, F.col("largest.best.entry").alias("y"))
         else:
             outside = groups.join(largest, key).filter(F.col("label") != F.col("largest.best.entry.label"))
             leaders = outside.groupBy(key).agg(F.max_by("best.entry", "best").alias("y"))
-        led = open_keys.select(*key, entry.alias("x")).join(leaders.select(*key, "y"), key)
+        # sets of a family share most of their keys and the leaders of these, so some sixteen of its keys are enough for a set
+        some = F.pmod(F.xxhash64("gram", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("n_keys") / 16))) == 0
+        led = labelled(index.filter(some)).select(*key, entry.alias("x")).join(leaders.select(*key, "y"), key)
         idle = 0 if test(led.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent))) else idle + 1
         labels = components(tested.filter("linked"), rounds=2)
     labels = components(tested.filter("linked"))
     odd = sets.select(F.col("set_id").alias("of_set"), "odd")
-    rest = materialize(labelled().join(odd, F.col("set_id") == F.col("of_set")).drop("of_set"), "open_keys")
+    named = labelled(index)
+    mixed = named.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    rest = named.join(mixed.select(key), key, "left_semi").drop("n_keys", "central")
+    rest = materialize(rest.join(odd, F.col("set_id") == F.col("of_set")).drop("of_set"), "open_keys")
     # members of a key's largest group are not paired with each other: one side is always a set outside it
     largest = grouped(rest, F.lit(0.0)).groupBy(key).agg(F.max(F.struct("m", "best"))["best"]["entry"]["label"].alias("main"))
     rest = materialize(rest.join(largest, key), "rest")
