@@ -16,20 +16,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relish.llm import arrowtext, doublearray, texthash
 from relish.session import materialize
 
 #: bytes of text that are encoded together; a longer text is cut between two words
-STRETCH = 1 << 19
+STRETCH = 1 << 18
 #: 64-bit words of a bitmap, 8 MB whatever the input
 MAP_WORDS = 1 << 20
 #: phrases a task gathers before it adds them up and passes them on
-GATHERED = 1 << 21
+GATHERED = 1 << 20
+#: rows of a batch that a task passes on
+SENT = 1 << 16
 
 _U = np.uint64
 _STEP = _U(0xC2B2AE3D27D4EB4F)
@@ -38,7 +42,7 @@ _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
 _GAP = re.compile(rb"[ \t.,;:!?\n-\r]")
-ENCODED = "lang string, own int, hashes array<long>, counts array<int>, words array<string>, codes binary"
+ENCODED = "lang string, own int, hashes binary, counts binary, words binary, codes binary"
 
 
 def _overlap(longest: int) -> re.Pattern:
@@ -75,13 +79,13 @@ def _encode(lang: str, data: bytes, own: int) -> pa.RecordBatch | None:
     position = np.arange(len(starts)) + np.cumsum(np.diff(pieces, prepend=pieces[0]) > 0)
     codes = np.zeros(int(position[-1]) + 1, dtype=np.int32)
     codes[position] = place + 1
-    lengths = (ends - starts)[at]
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    spelled = text[np.repeat(starts[at] - offsets[:-1], lengths) + np.arange(offsets[-1])]
-    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(spelled))
-    whole = pa.array([0, len(at)], pa.int32())
-    columns = [pa.array([lang]), pa.array([int(position[n_own - 1]) + 1], pa.int32()), pa.ListArray.from_arrays(whole, pa.array(distinct.view(np.int64))),
-               pa.ListArray.from_arrays(whole, pa.array(counts, pa.int32())), pa.ListArray.from_arrays(whole, words), pa.array([codes.tobytes()], pa.binary())]
+    lengths = (ends - starts)[at] + 1  # and a line break, which no word holds
+    offsets = np.cumsum(lengths) - lengths
+    source = np.repeat(starts[at] - offsets, lengths) + np.arange(lengths.sum())
+    spelled = text[np.minimum(source, len(text) - 1)]
+    spelled[offsets + lengths - 1] = 0x0A
+    parts = [distinct, counts.astype(np.int32), spelled, codes]
+    columns = [pa.array([lang]), pa.array([int(position[n_own - 1]) + 1], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "own", "hashes", "counts", "words", "codes"])
 
 
@@ -133,12 +137,15 @@ def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[((keys & _U(64 * MAP_WORDS - 1)) >> _U(6)).astype(np.int64)] >> (keys & _U(63))) & _U(1) == 1
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
-    """Language, own positions, word hashes and codes of each stretch."""
+def _numbers(value: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=kind)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Own positions, word hashes and codes of each stretch."""
     for batch in batches:
-        hashes, codes = batch.column(batch.schema.get_field_index("hashes")), batch.column(batch.schema.get_field_index("codes"))
-        for i, (lang, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            yield lang, own, hashes[i].values.to_numpy().view(_U), np.frombuffer(codes[i].as_buffer(), dtype=np.int32)
+        for own, hashes, codes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            yield own, _numbers(hashes, _U), _numbers(codes, np.int32)
 
 
 def _allowed(hashes: np.ndarray, codes: np.ndarray, maps: list[np.ndarray], upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -165,45 +172,106 @@ def _allowed(hashes: np.ndarray, codes: np.ndarray, maps: list[np.ndarray], upto
         yield k, at, keys
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]], *names: str, lang: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of equal keys added up, in small batches."""
+    keys = np.concatenate([k for k, _ in held])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.add.reduceat(np.concatenate([n for _, n in held])[order].astype(np.int64), first)
+    columns = [pa.array(keys[first].view(np.int64)), pa.array(counts)]
+    whole = pa.RecordBatch.from_arrays(columns if lang is None else [pa.array([lang] * len(first), pa.string()), *columns], names=list(names))
+    for at in range(0, len(first), SENT):
+        yield whole.slice(at, SENT)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of its words."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    sizes: dict[str, int] = {}
+    for batch in batches:
+        for lang, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            held.setdefault(lang, []).append((_numbers(hashes, _U), _numbers(counts, np.int32)))
+            sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1][0])
+            if sizes[lang] > GATHERED:
+                sizes[lang] = 0
+                yield from _summed(held.pop(lang), "lang", "hash", "n", lang=lang)
+    for lang, rows in held.items():
+        yield from _summed(rows, "lang", "hash", "n", lang=lang)
+
+
+def _spelled(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words that may be frequent; a task tells each once for every ``GATHERED`` of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, bytes] = {}
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary()).cast(pa.string())], names=["hash", "word"])
+
+        for batch in batches:
+            for hashes, words in zip(batch.column(0), batch.column(1), strict=True):
+                keys, spelled = _numbers(hashes, _U), words.as_py()
+                ends = np.flatnonzero(np.frombuffer(spelled, dtype=np.uint8) == 0x0A)
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                likely = np.flatnonzero(_in(shared.value[0], keys))
+                for key, start, end in zip(keys[likely].view(np.int64).tolist(), starts[likely].tolist(), ends[likely].tolist(), strict=True):
+                    if key not in found:
+                        found[key] = spelled[start:end]
+                if len(found) > GATHERED // 8:
+                    yield told()
+                    found.clear()
+        if found:
+            yield told()
+    return run
+
+
 def _buckets(k: int, maps) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Hashes of the k-word phrases that may be frequent, with a task's sums."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-
-        def added() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["bucket", "n"])
-
-        for _, own, hashes, codes in _rows(batches):
+        for own, hashes, codes in _rows(batches):
             *_, (_, at, keys) = _allowed(hashes, codes, maps.value, k)
-            held.append(keys[at < own])
-            n += len(held[-1])
+            found, counts = np.unique(keys[at < own], return_counts=True)
+            held.append((found, counts.astype(np.int32)))
+            n += len(found)
             if n > GATHERED:
-                yield added()
+                yield from _summed(held, "bucket", "n")
                 held, n = [], 0
         if n:
-            yield added()
+            yield from _summed(held, "bucket", "n")
     return run
 
 
-def _candidates(longest: int, maps) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Word hashes of all phrases that the bitmaps allow, mostly once a task."""
+def _candidates(longest: int, maps, wanted, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes and words of the phrases that the bitmaps allow and ``wanted`` holds: those whose turn it is in this task.
+
+    Of ``share`` tasks that meet a phrase one tells it, by a hash of both, once for every ``GATHERED`` of them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, dtype=_U)
-        for _, own, hashes, codes in _rows(batches):
+        turn = texthash.mix(np.array([TaskContext.get().partitionId() + 1], dtype=_U))
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, rows in held.items():
+                keys, first = np.unique(np.concatenate([keys for keys, _ in rows]), return_index=True)
+                phrases = np.concatenate([paths for _, paths in rows])[first].view(np.int64).reshape(-1)
+                paths = pa.ListArray.from_arrays(pa.array(np.arange(0, len(phrases) + 1, k), pa.int32()), pa.array(phrases))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), paths], names=["key", "path"])
+
+        for own, hashes, codes in _rows(batches):
             word = np.concatenate([np.zeros(1, dtype=_U), hashes])
-            if len(seen) > GATHERED:
-                seen = seen[:0]
             for k, at, keys in _allowed(hashes, codes, maps.value, longest):
                 if k == 1:
                     continue
-                mine = at < own
+                mine = np.flatnonzero((at < own) & (texthash.mix(keys ^ turn) % _U(share) == 0) & _in(wanted.value, keys))
                 distinct, first = np.unique(keys[mine], return_index=True)
-                fresh = ~np.isin(distinct, seen)
-                starts = at[mine][first[fresh]]
-                seen = np.union1d(seen, distinct[fresh])
-                phrases = word[codes[starts[:, None] + np.arange(k)]].view(np.int64).reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, len(phrases) + 1, k), pa.int32()), pa.array(phrases))], names=["path"])
+                held.setdefault(k, []).append((distinct, word[codes[at[mine[first]][:, None] + np.arange(k)]]))
+                n += len(distinct) * k
+            if n > GATHERED:
+                yield from told()
+                held, n = {}, 0
+        yield from told()
     return run
 
 
@@ -211,26 +279,33 @@ def _walk(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """How often each state of the trie is reached from the positions of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, trie, longest = shared.value
-        reached = np.zeros(trie.size, dtype=np.int64)
-        for _, own, hashes, codes in _rows(batches):
+        reached, held, n = np.zeros(trie.size, dtype=np.int64), [], 0
+        for own, hashes, codes in _rows(batches):
             place = np.minimum(np.searchsorted(symbols, hashes), len(symbols) - 1)
             symbol = np.concatenate([[0], np.where(symbols[place] == hashes, place + 1, 0)])[codes]
-            at = np.arange(own)
-            states = np.zeros(own, dtype=np.int64)
+            at = np.flatnonzero(symbol[:own])
+            states = np.zeros(len(at), dtype=np.int64)
             for depth in range(longest):
                 inside = at + depth < len(symbol)
                 at, states = at[inside], states[inside]
                 on, states = trie.step(states, symbol[at + depth])
                 at = at[on]
-                reached += np.bincount(states, minlength=trie.size)
+                if depth:
+                    held.append(states)
+                    n += len(states)
+            if n > GATHERED:
+                reached += np.bincount(np.concatenate(held), minlength=trie.size)
+                held, n = [], 0
+        if held:
+            reached += np.bincount(np.concatenate(held), minlength=trie.size)
         states = np.flatnonzero(reached)
         yield pa.RecordBatch.from_arrays([pa.array(states), pa.array(reached[states])], names=["state", "n"])
     return run
 
 
-def _counted(encoded: DataFrame, candidates: DataFrame, longest: int, block: int) -> DataFrame:
-    """``path, a``: exact counts of all candidates, one pass over the encoded texts for each block of them."""
-    spark = encoded.sparkSession
+def _counted(slots: DataFrame, candidates: DataFrame, longest: int, least: int, block: int) -> DataFrame:
+    """``path, a``: candidates with exact counts of ``least`` or more, one pass over the encoded texts for each block of them."""
+    spark = slots.sparkSession
     blocks = candidates.count() // block + 1
     named = candidates.withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)))
     out = spark.createDataFrame([], "path array<long>, a long")
@@ -244,37 +319,56 @@ def _counted(encoded: DataFrame, candidates: DataFrame, longest: int, block: int
         table[np.arange(longest) < lengths[:, None]] = code + 1
         trie, ends = doublearray.build(table, len(symbols))
         shared = spark.sparkContext.broadcast((symbols, trie, longest))
-        sums = encoded.select("lang", "own", "hashes", "codes").mapInArrow(_walk(shared), "state long, n long").groupBy("state").agg(F.sum("n").alias("a"))
-        states = spark.createDataFrame(pa.table({"end": pa.array(ends), "path": paths}))
-        out = out.unionByName(materialize(states.join(sums, F.col("end") == F.col("state")).select("path", "a"), "counted"))
-        shared.unpersist()
+        sums = slots.mapInArrow(_walk(shared), "state long, n long").groupBy("state").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+        counts = np.zeros(trie.size, dtype=np.int64)
+        counts[sums.column("state").to_numpy()] = sums.column("n").to_numpy()
+        shared.destroy()
+        frequent = np.flatnonzero(counts[ends])
+        if len(frequent):
+            found = pa.table({"path": paths.take(pa.array(frequent)), "a": pa.array(counts[ends[frequent]])})
+            out = out.unionByName(materialize(spark.createDataFrame(found), "counted"))
     return out
 
 
-def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, block: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """Words (``lang, word, n``, all of them) and phrases (``lang, words, a``, 2 to ``longest`` words, ``a >= least``) with exact counts.
+def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, block: int = 1 << 18) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exact counts: of all words of a language (``lang, n``), and of what stands there ``least`` times or more, words (``lang, word,
+    n``) and phrases (``lang, words, a``) of 2 to ``longest`` words.
 
     ``block`` bounds the candidates of one broadcast trie; each block costs one more pass over the encoded texts.
     """
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     encoded = materialize(slim.mapInArrow(_encoder(longest), ENCODED), "encoded")
-    every = encoded.select("lang", F.inline(F.arrays_zip("hashes", "counts", "words")))
-    words = materialize(every.groupBy("lang", F.col("hashes").alias("hash")).agg(F.sum("counts").alias("n"), F.first("words").alias("word")), "words")
-    frequent = words.filter(F.col("n") >= least)
-    maps = [bitmap(frequent, "hash")]
-    slots = encoded.select("lang", "own", "hashes", "codes")
+    words = encoded.select("lang", "hashes", "counts").mapInArrow(_word_counts, "lang string, hash long, n long")
+    words = materialize(words.groupBy("lang", "hash").agg(F.sum("n").alias("n")), "words")
+    maps = [bitmap(words.filter(F.col("n") >= least), "hash")]
+    shared = spark.sparkContext.broadcast(maps)
+    spelled = encoded.select("hashes", "words").mapInArrow(_spelled(shared), "hash long, word string").dropDuplicates(["hash"])
+    frequent = materialize(words.filter(F.col("n") >= least).join(spelled, "hash").select("lang", "hash", "word", "n"), "frequent")
+    shared.destroy()
+    slots, keys = encoded.select("own", "hashes", "codes"), []
     for k in range(2, longest + 1):
         shared = spark.sparkContext.broadcast(maps)
         sums = slots.mapInArrow(_buckets(k, shared), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        maps = [*maps, bitmap(sums.filter(F.col("n") >= least), "bucket")]
-        shared.unpersist()
-    shared = spark.sparkContext.broadcast(maps)
-    candidates = materialize(slots.mapInArrow(_candidates(longest, shared), "path array<long>").distinct(), "candidates")
-    phrases = materialize(_counted(encoded, candidates, longest, block).filter(F.col("a") >= least), "phrases")
+        keys.append(materialize(sums.filter(F.col("n") >= least).select(F.col("bucket").alias("key")), "buckets"))
+        maps = [*maps, bitmap(keys[-1], "key")]
+        shared.destroy()
+    shared, left = spark.sparkContext.broadcast(maps), reduce(DataFrame.unionByName, keys)
+    # some four tasks tell a phrase, then all that meet one which none has told
+    told = []
+    for share in (max(1, slots.rdd.getNumPartitions() // 4), 1):
+        wanted = spark.sparkContext.broadcast(bitmap(left, "key"))
+        found = slots.mapInArrow(_candidates(longest, shared, wanted, share), "key long, path array<long>")
+        told.append(materialize(found.groupBy("key").agg(F.first("path").alias("path")), "candidates"))
+        wanted.destroy()
+        left = left.join(told[-1].select("key"), "key", "left_anti")
+    shared.destroy()
+    candidates = told[0].unionByName(told[1].join(told[0].select("key"), "key", "left_anti")).select("path")
+    phrases = materialize(_counted(slots, candidates, longest, least, block), "phrases")
     placed = phrases.withColumn("id", F.monotonically_increasing_id()).select("id", "a", F.posexplode("path").alias("place", "hash"))
-    spelled = placed.join(frequent.select("hash", "lang", "word"), "hash").groupBy("id", "lang", "a").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
-    return words.select("lang", "word", "n"), materialize(spelled.select("lang", F.col("words.word").alias("words"), "a"), "phrases")
+    named = placed.join(frequent.select("hash", "lang", "word"), "hash").groupBy("id", "lang", "a").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return totals, frequent.select("lang", "word", "n"), materialize(named.select("lang", F.col("words.word").alias("words"), "a"), "phrases")
 
 
 def _joined(words: Column | str) -> Column:
@@ -290,9 +384,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     Equal scores go by count, then by the phrase's bytes.  A NULL text is empty, a NULL language is ``und``; repeated
     rows count each time; other columns are ignored; no frequent phrase, no result.
     """
-    words, phrases = count_phrases(docs, text, lang, longest, least, block)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = materialize(words.filter(F.col("n") >= least).select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
+    totals, words, phrases = count_phrases(docs, text, lang, longest, least, block)
+    counts = materialize(words.select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
                          .unionByName(phrases.select("lang", _joined("words").alias("part"), F.col("a").alias("f"))), "parts")
     named = phrases.select("lang", "words", _joined("words").alias("phrase"), "a")
     inner = F.filter(F.flatten(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda k: F.transform(

@@ -80,6 +80,7 @@ def test_long_texts_are_cut_between_words(words, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 4), pa.array(texts)], names=["lang", "text"])
     rows = list(collocations._encoder(4)(iter([batch])))
     assert len(rows) > 50
+    monkeypatch.setattr(collocations.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
     everything = SimpleNamespace(value=[np.full(collocations.MAP_WORDS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)] * 4)
     counted, named = Counter(), {}
     for row in rows:
@@ -88,7 +89,7 @@ def test_long_texts_are_cut_between_words(words, monkeypatch):
         named.update(zip(np.frombuffer(row.column("hashes")[0].as_py(), dtype=np.int64).tolist(), spelled, strict=True))
     rows = [row.select(["own", "hashes", "codes"]) for row in rows]
     assert +counted == Counter(w for t in all_words(texts) for w in t)
-    found = {tuple(named[h] for h in path) for b in collocations._candidates(4, everything)(iter(rows)) for path in b.column("path").to_pylist()}
+    found = {tuple(named[h] for h in path) for b in collocations._candidates(4, everything, SimpleNamespace(value=everything.value[0]), 1)(iter(rows)) for path in b.column("path").to_pylist()}
     want = Counter(tuple(p[i : i + k]) for t in texts for p in (re.findall("[^ \t]+", x) for x in (t or "").split(",")) for k in (2, 3, 4) for i in range(len(p) - k + 1))
     assert found == set(want)
     paths = sorted(found)
