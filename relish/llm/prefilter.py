@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: 64-bit words of the bitmap: its broadcast has at most so many rows of two longs, whatever the input
@@ -21,6 +23,19 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def aside(rows: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``rows`` with columns of the given names called otherwise, and what gives a filtered or changed ``rows`` its own columns back."""
+    own, taken, renamed = rows.columns, {n.lower() for n in names}, {}
+    for column in own:
+        if column.lower() in taken:
+            renamed[column] = fresh([*own, *names, *renamed.values()], column)
+    inner = [renamed.get(c, c) for c in own]
+
+    def back(changed: DataFrame) -> DataFrame:
+        return changed.select(*[F.col(f"`{now}`").alias(column) for now, column in zip(inner, own, strict=True)])
+    return rows.withColumnsRenamed(renamed), back
+
+
 def flagged(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
     """``rows`` with boolean ``name``: false only if ``key`` is not among ``ids`` (one column); rows of a NULL key are false.
 
