@@ -65,12 +65,13 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
 def hash_threshold(df: DataFrame, digest: Column, take: int, digits: int = 3, small: int = 10_000) -> str | None:
     """The ``take``-th smallest hex digest, found by narrowing a digit histogram.
 
-    Each pass scans one column and returns at most ``16**digits`` counts; only the last
-    bucket, a few thousand rows, is ever sorted. None when nothing is to be taken.
+    The input is read once, for a stored column of digests. Each pass scans that and
+    returns at most ``16**digits`` counts; only the last bucket, a few thousand rows, is
+    ever sorted. None when nothing is to be taken.
     """
     if take <= 0:
         return None
-    rows, prefix, width = df.select(digest.alias("_h")), "", 32
+    rows, prefix, width = materialize(df.select(digest.alias("_h")), "digests"), "", 32
     while len(prefix) + digits <= width:
         counts = rows.groupBy(F.substring("_h", len(prefix) + 1, digits).alias("_d")).agg(F.count("*").alias("_n"))
         upto = F.sum("_n").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
