@@ -77,6 +77,13 @@ def test_blocks_equal_brute_force(spark, monkeypatch):
     assert got == {(u, k + 1): int(best[u, k]) for u in range(90) for k in range(3)}
 
 
+def test_blocks_with_an_empty_side(spark):
+    some = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, 1.0])], "k string, vec array<double>")
+    for left, right in ((some.limit(0), some), (some, some.limit(0))):
+        found = blocks.block_candidates(left.withColumnRenamed("k", "u"), "u", "vec", right.withColumnRenamed("k", "i"), "i", "vec", 2, lambda a, b: a @ b.T, F.lit(1))
+        assert found.columns == ["u", "i", "score"] and found.collect() == []
+
+
 def test_blocks_that_cannot_win_are_passed_over():
     """The same lists with and without bounds, ties and empty lists included; blocks are skipped and rows leave blocks early."""
     rng = np.random.default_rng(5)
