@@ -339,6 +339,8 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     encoded = materialize(slim.mapInArrow(_encoder(longest), ENCODED), "encoded")
+    # tasks of several files add up more before they pass on sums
+    encoded = encoded.coalesce(max(2 * spark.sparkContext.defaultParallelism, encoded.rdd.getNumPartitions() // 4))
     words = encoded.select("lang", "hashes", "counts").mapInArrow(_word_counts, "lang string, hash long, n long")
     words = materialize(words.groupBy("lang", "hash").agg(F.sum("n").alias("n")), "words")
     maps = [bitmap(words.filter(F.col("n") >= least), "hash")]
@@ -354,16 +356,16 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         maps = [*maps, bitmap(keys[-1], "key")]
         shared.destroy()
     shared, left = spark.sparkContext.broadcast(maps), reduce(DataFrame.unionByName, keys)
-    # some four tasks tell a phrase, then all that meet one which none has told
-    told = []
-    for share in (max(1, slots.rdd.getNumPartitions() // 4), 1):
+    # some two tasks tell a phrase, then some eight one which none has told, then all that meet one still untold
+    told, tasks = [], slots.rdd.getNumPartitions()
+    for share in dict.fromkeys((max(1, tasks // 2), max(1, tasks // 8), 1)):
         wanted = spark.sparkContext.broadcast(bitmap(left, "key"))
         found = slots.mapInArrow(_candidates(longest, shared, wanted, share), "key long, path array<long>")
-        told.append(materialize(found.groupBy("key").agg(F.first("path").alias("path")), "candidates"))
+        told.append(materialize(found.join(left, "key", "left_semi").groupBy("key").agg(F.first("path").alias("path")), "candidates"))
         wanted.destroy()
         left = left.join(told[-1].select("key"), "key", "left_anti")
     shared.destroy()
-    candidates = told[0].unionByName(told[1].join(told[0].select("key"), "key", "left_anti")).select("path")
+    candidates = reduce(DataFrame.unionByName, told).select("path")
     phrases = materialize(_counted(slots, candidates, longest, least, block), "phrases")
     placed = phrases.withColumn("id", F.monotonically_increasing_id()).select("id", "a", F.posexplode("path").alias("place", "hash"))
     named = placed.join(frequent.select("hash", "lang", "word"), "hash").groupBy("id", "lang", "a").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
