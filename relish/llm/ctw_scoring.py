@@ -77,10 +77,14 @@ def unpack_grams(data: bytes) -> np.ndarray:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with the sums of their counts."""
+    """Distinct keys with the sums of their counts; the parts are sorted, so a stable sort only merges them."""
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    own, at = np.unique(keys, return_inverse=True)
-    return own, np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    if not len(first):
+        return keys, counts
+    return keys[first], np.add.reduceat(counts[order], first).astype(np.int64)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -295,7 +299,7 @@ def _score(depth: int, total: int, distinct: int) -> Callable[[pa.Table, pa.Tabl
                 base.update(zip(own, logs.tolist(), strict=True))
                 known.update(w for w, n in zip(own, counts.tolist(), strict=True) if n)
         every, logp = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(every)
+        order = np.argsort(every, kind="stable")  # sorted stretches, one a bucket
         every, logp = every[order], logp[order].astype(np.float64)
         out: list[tuple] = []
         for train, body in zip(texts.column("train").to_pylist(), _bodies(texts), strict=True):
