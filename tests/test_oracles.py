@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = ("naive_topn", "naive_exclude_ci", "variety_topn", "naive_eval", "catalog_clean", "catalog_prep", "interactions_prep",
          "neg_sample_eval", "sampled_rank_eval", "ncf_forward", "ncf_topn", "vec_recommend", "vec_explain", "naive_request",
          "dispatch_batch", "src_reviews_csv", "src_bulk_csv", "stream_rate_5s", "stream_item_mean", "split_exact_ratio",
-         "last_rating_per_item", "one_hot_unknown", "feature_matrix", "valid_ratings", "rf_recommend")
+         "last_rating_per_item", "one_hot_unknown", "feature_matrix", "valid_ratings", "rf_recommend", "src_probe", "src_probe_rows",
+         "sink_versions", "catalog_sparse", "feature_matrix_sparse", "stream_outbox")
 NAMES = tuple(registry.ORACLES) if os.environ.get("RELISH_ALL") else QUICK
 
 
