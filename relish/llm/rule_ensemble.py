@@ -150,12 +150,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, **settings) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their own columns, whatever their names.
 
-    Learns as ``score_quality`` does.  Statistics are worked out once for the labelled rows and once for all.  NULL and empty
+    Learns as ``score_quality`` does.  Statistics are worked out twice, to learn and to judge, as they are cheaper than a
+    shuffle of the labelled texts; only numbers are joined with the labels.  NULL and empty
     texts are judged as any other, from statistics that are 0; very long texts are read whole; repeated rows and NULL ids
     stay or go each by its text; no documents, no rows; without labels the score is one half, so all rows stay.
     """
-    inner, back = prefilter.aside(docs, [*ADDED, "labelled_id"])
-    marked = inner.join(labels.select(F.col(doc_id).alias("labelled_id")).distinct(), F.col(doc_id) == F.col("labelled_id"), "left_semi")
-    slim = marked.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    inner, back = prefilter.aside(docs, ADDED)
+    slim = inner.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     model = learn(with_statistics(slim).select("doc_id", *ADDED), labels.withColumnRenamed(doc_id, "doc_id"), **settings)
     return back(with_statistics(inner, text).filter(model.score() >= threshold))
