@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql.types import DataType, StructField, StructType
 
+#: what frees the things that a worker keeps from task to task
+KEPT: list[Callable[[], None]] = []
+
+
+def free_kept() -> None:
+    """Free what tasks of other kinds left in this worker; tasks that need much memory of their own call it."""
+    for free in KEPT:
+        free()
+
 
 def texts(batch: pa.RecordBatch, column: str) -> Iterator[memoryview]:
     """UTF-8 bytes of each row without a copy; NULL gives no bytes."""

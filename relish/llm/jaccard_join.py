@@ -65,6 +65,7 @@ def _sets(shingle: int, percent: int, whole: bool) -> Callable[[Iterator[pa.Reco
     Parities come with whole sets only.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrowtext.free_kept()
         seen: set[int] = set()
         for batch in batches:
             ids, sizes, tokens, odd = [], [], [], []

@@ -58,6 +58,7 @@ def statistics(data: memoryview | bytes) -> tuple[float, ...]:
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a ``stat_*`` column for each statistic; all other columns stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrowtext.free_kept()
         for batch in batches:
             found = np.array([statistics(t) for t in arrowtext.texts(batch, text)], dtype=np.float64).reshape(-1, len(STATISTICS))
             yield arrowtext.append(batch, {name: pa.array(found[:, i]) for i, name in enumerate(ADDED)})
