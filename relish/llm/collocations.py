@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -330,6 +331,18 @@ def _counted(slots: DataFrame, candidates: DataFrame, longest: int, least: int,
     return out
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While encoded texts are read, whose rows are hundreds of kilobytes each, few of them go to a worker at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "32")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, block: int = 1 << 18) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact counts: of all words of a language (``lang, n``), and of what stands there ``least`` times or more, words (``lang, word,
     n``) and phrases (``lang, words, a``) of 2 to ``longest`` words.
@@ -339,6 +352,13 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     encoded = materialize(slim.mapInArrow(_encoder(longest), ENCODED), "encoded")
+    with _small_batches(spark):
+        return _count(encoded, longest, least, block)
+
+
+def _count(encoded: DataFrame, longest: int, least: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``count_phrases`` over the encoded texts; everything that reads them is done when it returns."""
+    spark = encoded.sparkSession
     # tasks of several files add up more before they pass on sums
     encoded = encoded.coalesce(max(2 * spark.sparkContext.defaultParallelism, encoded.rdd.getNumPartitions() // 4))
     words = encoded.select("lang", "hashes", "counts").mapInArrow(_word_counts, "lang string, hash long, n long")
