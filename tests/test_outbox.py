@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from relish.operators import forest
+from relish.queries import streams
 from relish.streaming import outbox
 from relish.streaming import requests as S
 
@@ -87,3 +88,16 @@ def test_newest_scores_follow_what_is_published(spark, tmp_path):
     version, second = scores()
     assert version == 1 and {r.predicted_score for r in second.collect()} == {1.0}
     assert isinstance(forest.load(spark, path, 0), PipelineModel) and len({r.predicted_score for r in first.collect()}) > 1
+
+
+def test_answers_are_not_broadcast_to_be_checked(spark, tmp_path):
+    """Texts that repeat fill a small file and much memory; duplicates of a title count as often as they are told."""
+    answers = spark.range(4000).selectExpr("id % 1000 as event_id", "if(id % 1000 < 500, 'Traditional', 'Naive') as model_used", "cast(id % 1000 div 600 as int) as version",
+                                           "concat('t', id div 1000) as title", "'Predicted Score: 1.00' as description")
+    answers.write.parquet(str(tmp_path / "answers"))
+    liked = spark.range(1000).selectExpr("id as event_id", "array('t3') as games")
+    told = spark.createDataFrame([(0, "t0", "Predicted Score: 1.00"), (0, "t1", "Predicted Score: 2.00"), (0, "t1", "Predicted Score: 1.00")], "version int, title string, expected string")
+    found = streams.by_version(spark.read.parquet(str(tmp_path / "answers")), liked, told)
+    assert "SortMergeJoin [event_id" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.model_used, r.version, r.n_recs, r.n_liked, r.n_by_version): r["n"] for r in found.groupBy("model_used", "version", "n_recs", "n_liked", "n_by_version").agg(F.count("*").alias("n")).collect()}
+    assert got == {("Traditional", 0, 5, 1, 2): 500, ("Naive", 0, 5, 0, 0): 100, ("Naive", 1, 4, 0, 0): 400}
