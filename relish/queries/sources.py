@@ -7,7 +7,7 @@ from relish.functions import wording
 from relish.operators import lookup
 from relish.queries import oracle, query
 from relish.queries.joins import ITEMS, SPLIT, USERS, item_ids, user_ids
-from relish.session import scratch_dir
+from relish.session import materialize, scratch_dir
 from relish.sources import artifacts, files, probe, warehouse
 from relish.operators import split
 
@@ -183,7 +183,7 @@ def sink_mappings_pair(spark, sf_dir):
 def _probed(spark, sf_dir):
     """Six sources: none, another format, no rows, mostly broken rows, few broken rows, and one that is not needed."""
     base = scratch_dir(spark, "probe")
-    rows = _ratings(spark, sf_dir)
+    rows = materialize(_ratings(spark, sf_dir), "ratings")  # written four times below
 
     def broken(beyond):
         return rows.withColumn("rating", F.when(F.col("rating") > beyond, F.lit("n/a")).otherwise(F.col("rating").cast("string")))

@@ -84,3 +84,16 @@ def test_stale_and_retry_filters(spark):
     rows = rows.select("*", F.lit("2024-01-01").cast("timestamp").alias("ts")).withColumn("arrived", F.col("ts") + F.make_dt_interval(secs="age"))
     assert [r[0] for r in S.fresh(rows, "ts", "arrived").select("event_id").collect()] == [1, 2]
     assert [r[0] for r in S.within_retries(rows).select("event_id").collect()] == [1, 3]
+
+
+def test_probed_sources_are_written_from_stored_ratings(spark, monkeypatch):
+    """The ratings are joined once, however many of the six sources they fill."""
+    from relish.queries import sources
+    joined = []
+    monkeypatch.setattr(sources, "_ratings", lambda s, d: joined.append(s.range(60).select(
+        F.format_string("u%d", F.col("id") % 5).alias("user_id"), F.format_string("g%d", "id").alias("game_title"), (F.col("id") % 11).cast("double").alias("rating"))) or joined[-1])
+    stored, materialize = [], sources.materialize
+    monkeypatch.setattr(sources, "materialize", lambda df, label: stored.append(df) or materialize(df, label))
+    found = sources._probed(spark, "")
+    assert stored == joined
+    assert found.rows.count() == 55 and [r.verdict for r in found.report.orderBy("place").collect()] == ["missing", "unreadable", "empty", "dirty", "used", "untried"]
