@@ -80,3 +80,16 @@ def test_sampled_negatives_are_exact(spark):
     for u, s in seen.items():
         mine = got.get(u, [])
         assert len(mine) == len(set(mine)) == min(k, n - len(s)) and not set(mine) & s
+
+
+def test_places_looked_at_do_not_grow_with_what_was_seen_late(spark, monkeypatch):
+    seen = spark.createDataFrame([("a", i) for i in range(500, 900)] + [("a", 1), ("a", 402)] + [("b", i) for i in range(3)] + [(None, 0)], "u string, i bigint")
+    looked, spots = [], sampling._spots
+
+    def counted(*args, **kwargs):
+        looked.append(spots(*args, **kwargs))
+        return looked[-1]
+    monkeypatch.setattr(sampling, "_spots", counted)
+    got = {(r["u"], r["rank"], r["i"]) for r in sampling.first_unseen(seen, "u", "i", 3, 1000).collect()}
+    assert got == {("a", 1, 0), ("a", 2, 2), ("a", 3, 3), ("b", 1, 3), ("b", 2, 4), ("b", 3, 5), (None, 1, 0), (None, 2, 1), (None, 3, 2)}
+    assert looked[0].count() <= 3 * 3 + 5  # three places a key, and one for each early item
