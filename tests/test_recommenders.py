@@ -62,6 +62,20 @@ def test_best_cells_match_a_full_sort():
         assert cols[rows == r].tolist() == want
 
 
+def test_wide_blocks_take_their_limit_from_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    scores, keep = np.round(rng.normal(size=(50, 1000)), 2), rng.integers(0, 8, 50)
+    scores[4], scores[5, 3:] = np.nan, np.nan
+    before = scores.copy()
+    asked, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *args, **kwargs: asked.append(a.shape[1]) or partition(a, *args, **kwargs))
+    rows, cols, _ = blocks.best_cells(scores, keep)
+    assert asked == [1000 // blocks.GROUP] and np.array_equal(scores, before, equal_nan=True)
+    for r in range(50):
+        want = sorted(np.flatnonzero(~np.isnan(scores[r])).tolist(), key=lambda c: (-scores[r, c], c))[:keep[r]]
+        assert cols[rows == r].tolist() == want
+
+
 def test_blocks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(blocks, "LEFT_ROWS", 16)
     monkeypatch.setattr(blocks, "RIGHT_BYTES", 8 * 4 * 10)
