@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -21,13 +24,22 @@ from relish.streaming.requests import MAX_RETRIES
 MAX_WAIT_MS = 30_000
 LOG = "user string, at timestamp, seq bigint, kind string, event_id bigint, body string"
 RESULT = "event_id bigint, user string, outcome string, retries int, waited_ms bigint, body string"
+#: keys of the state; users and salts are dealt to them by hash
+BUCKETS = 1 << 11
+_MESSAGE, _UP, _DOWN, _OTHER, _NAMELESS = range(5)  # the last is a message without an id
+_WHO = [("user", pa.string()), ("salt", pa.int32())]
+_HELD = pa.schema([*_WHO, pa.field("at_ms", pa.int64(), nullable=False), pa.field("seq", pa.int64(), nullable=False), ("kind", pa.int32()), ("event_id", pa.int64()), ("body", pa.string())])
+_WAITING = pa.schema([*_WHO, ("at", pa.int64()), ("event_id", pa.int64()), ("retries", pa.int32()), ("body", pa.string())])
+_LINE = pa.schema(_WHO)
+_RESULT = pa.schema([("event_id", pa.int64()), ("user", pa.string()), ("outcome", pa.string()), ("retries", pa.int32()), ("waited_ms", pa.int64()), ("body", pa.string())])
 
 
 class Outbox(StatefulProcessor):
-    """One user's part of the queue (see ``outcomes``).
+    """The queues of one bucket of keys (see ``outcomes``).
 
-    ``ahead`` holds rows the watermark has not passed, ``waiting`` the unsent messages as (at, event_id, retries, body),
-    ``line`` whether the user is connected, and ``alarm`` the time of the only timer.
+    ``ahead`` holds rows the watermark has not passed, ``waiting`` the unsent messages, ``line`` the keys that are connected, and
+    ``alarm`` the time of the only timer. All are packed tables of the whole bucket: a call into the state store is paid
+    once for a bucket and not for every user.
     """
 
     def __init__(self, max_wait_ms: int, max_retries: int) -> None:
@@ -35,9 +47,9 @@ class Outbox(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.ahead = handle.getListState("ahead", "at bigint, seq bigint, kind string, event_id bigint, body string")
-        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, retries int, body string")
-        self.line = handle.getValueState("line", "up boolean")
+        self.ahead = handle.getListState("ahead", "rows binary")
+        self.waiting = handle.getValueState("waiting", "rows binary")
+        self.line = handle.getValueState("line", "rows binary")
         self.alarm = handle.getValueState("alarm", "at bigint")
 
     def _wake(self, at: int | None) -> None:
@@ -54,10 +66,9 @@ class Outbox(StatefulProcessor):
             self.alarm.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [r for frame in rows for r in frame[["at_ms", "seq", "kind", "event_id", "body"]].itertuples(index=False, name=None)]
-        came = [(int(at), int(seq), kind, None if pd.isna(event) else int(event), body) for at, seq, kind, event, body in came]
-        self.ahead.appendList(came)
-        first = min(at for at, *_ in came)
+        came = pa.concat_tables([pa.Table.from_pandas(frame[_HELD.names], _HELD, preserve_index=False) for frame in rows])
+        self.ahead.appendValue((_packed(came),))
+        first = pc.min(came["at_ms"]).as_py()
         if not self.alarm.exists() or first < self.alarm.get()[0]:
             self._wake(first)
         return iter(())
@@ -65,66 +76,116 @@ class Outbox(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.alarm.clear()
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.ahead.get()), key=lambda r: (r[0], r[1]))
-        due, ahead = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        up = bool(self.line.get()[0]) if self.line.exists() else False
-        out: list[tuple] = []
-
-        def done(message, outcome: str, at: int) -> None:
-            out.append((message[1], key[0], outcome, message[2], at - message[0], message[3]))
-
-        def expire(at: int) -> None:
-            nonlocal waiting
-            for m in waiting:
-                if at - m[0] > self.max_wait_ms:
-                    done(m, "stale", m[0] + self.max_wait_ms + 1)
-            waiting = [m for m in waiting if at - m[0] <= self.max_wait_ms]
-
-        for at, _, kind, event_id, body in due:
-            expire(at)
-            if kind == "message":
-                waiting.append((at, event_id, 0, body))
-            elif kind in ("up", "down"):
-                up = kind == "up"
-            if kind == "down":
-                waiting = [(m[0], m[1], m[2] + 1, m[3]) for m in waiting]
-                for m in waiting:
-                    if m[2] > self.max_retries:
-                        done(m, "retries", at)
-                waiting = [m for m in waiting if m[2] <= self.max_retries]
-            if up:
-                for m in waiting:
-                    done(m, "sent", at)
-                waiting = []
-        expire(now)
-        self._keep(ahead, waiting, up)
-        self._wake(min([r[0] for r in ahead[:1]] + [m[0] + self.max_wait_ms + 1 for m in waiting], default=None))
-        if out:
-            yield pd.DataFrame(out, columns=["event_id", "user", "outcome", "retries", "waited_ms", "body"])
-
-    def _keep(self, ahead: list, waiting: list, up: bool) -> None:
-        for state, rows in ((self.ahead, ahead), (self.waiting, waiting)):
-            if rows:
-                state.put(rows)
+        held = [_unpacked(t[0]) for t in self.ahead.get()] if self.ahead.exists() else []
+        rows = pa.concat_tables(held) if held else _HELD.empty_table()
+        passed = pc.less_equal(rows["at_ms"], now)
+        due, ahead = rows.filter(passed), rows.filter(pc.invert(passed))
+        waiting: dict[tuple[str | None, int], list[list]] = {}
+        if self.waiting.exists():
+            for user, salt, *message in zip(*(c.to_pylist() for c in _unpacked(self.waiting.get()[0]).columns), strict=True):
+                waiting.setdefault((user, salt), []).append(message)
+        up = set(zip(*(c.to_pylist() for c in _unpacked(self.line.get()[0]).columns), strict=True)) if self.line.exists() else set()
+        out = _work_through(due, waiting, up, now, self.max_wait_ms, self.max_retries)
+        if ahead.num_rows:
+            self.ahead.put([(_packed(ahead),)])
+        else:
+            self.ahead.clear()
+        unsent = [(*who, *message) for who, messages in waiting.items() for message in messages]
+        for state, schema, kept in ((self.waiting, _WAITING, unsent), (self.line, _LINE, list(up))):
+            if kept:
+                state.update((_packed(_table(kept, schema)),))
             else:
                 state.clear()
-        self.line.update((up,))
+        nexts = [pc.min(ahead["at_ms"]).as_py()] if ahead.num_rows else []
+        self._wake(min(nexts + [m[2] + self.max_wait_ms + 1 for m in unsent], default=None))
+        if out:
+            yield _table(out, _RESULT).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
     def close(self) -> None:
         pass
 
 
+def _work_through(due: pa.Table, waiting: dict, up: set, now: int, max_wait_ms: int, max_retries: int) -> list[tuple]:
+    """What became of messages up to ``now``; ``waiting`` and ``up`` are brought up to date.
+
+    A message is (at, event_id, retries, body). A key's messages wait in the order of their time, so the first is the first to expire.
+    """
+    out: list[tuple] = []
+
+    def done(who: tuple, message: list, outcome: str, waited: int) -> None:
+        out.append((message[1], who[0], outcome, message[2], waited, message[3]))
+
+    def expire(who: tuple, messages: list[list], at: int) -> list[list]:
+        for m in messages:
+            if at - m[0] > max_wait_ms:
+                done(who, m, "stale", max_wait_ms + 1)
+        return [m for m in messages if at - m[0] <= max_wait_ms]
+
+    users = due["user"].combine_chunks().dictionary_encode("encode")
+    names, code, salt = users.dictionary.to_pylist(), users.indices.to_numpy(), due["salt"].to_numpy()
+    order = np.lexsort((due["seq"].to_numpy(), due["at_ms"].to_numpy(), salt, code))
+    columns = [code[order].tolist(), salt[order].tolist(), *[due[c].take(pa.array(order)).to_pylist() for c in ("at_ms", "kind", "event_id", "body")]]
+    who, last, messages, connected = None, None, [], False
+    for user, part, at, kind, event_id, body in zip(*columns, strict=True):
+        if (user, part) != last:
+            if who is not None:
+                waiting[who] = messages
+            last, who = (user, part), (names[user], part)
+            messages, connected = waiting.get(who, []), who in up
+        if messages and at - messages[0][0] > max_wait_ms:
+            messages = expire(who, messages, at)
+        if kind == _UP:
+            connected = True
+            up.add(who)
+        elif kind == _DOWN:
+            connected = False
+            up.discard(who)
+            for m in messages:
+                m[2] += 1
+                if m[2] > max_retries:
+                    done(who, m, "retries", at - m[0])
+            messages = [m for m in messages if m[2] <= max_retries]
+        elif kind != _OTHER:
+            messages.append([at, event_id if kind == _MESSAGE else None, 0, body])
+        if connected and messages:
+            for m in messages:
+                done(who, m, "sent", at - m[0])
+            messages = []
+    if who is not None:
+        waiting[who] = messages
+    for key, left in waiting.items():
+        waiting[key] = expire(key, left, now)
+    return out
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema)
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def outcomes(log: DataFrame, late: str = "30 seconds", max_wait_ms: int = MAX_WAIT_MS, max_retries: int = MAX_RETRIES, salts: int = 8) -> DataFrame:
     """What became of each message of a stream of ``LOG`` rows, as ``RESULT``: ``sent``, ``retries`` or ``stale``.
 
     ``seq`` orders rows of one time.  Rows may come out of order by up to ``late``; a message whose fate the watermark has
     not reached is not told yet.  As messages do not depend on each other, a user's messages are dealt to ``salts`` keys and
-    their connection rows go to all of these, so that a user who writes a third of all messages is no single key.
+    their connection rows go to all of these, so that a user who writes a third of all messages is no single key.  Users and
+    salts are dealt to ``BUCKETS`` keys of the state.
     """
     own = F.sequence(F.lit(0), F.lit(salts - 1))
     salt = F.when(F.col("kind") == "message", F.array(F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))).otherwise(own)
-    keyed = (log.withWatermark("at", late).withColumn("salt", F.explode(salt))
-             .select("user", "salt", "at", F.unix_millis("at").alias("at_ms"), "seq", "kind", "event_id", "body"))
+    kind = F.when((F.col("kind") == "message") & F.col("event_id").isNull(), _NAMELESS).otherwise(
+        F.coalesce(*[F.when(F.col("kind") == name, code) for name, code in (("message", _MESSAGE), ("up", _UP), ("down", _DOWN))], F.lit(_OTHER)))
+    keyed = (log.withWatermark("at", late).withColumn("salt", F.explode(salt)).withColumn("bucket", F.pmod(F.xxhash64("user", "salt"), F.lit(BUCKETS)).cast("int"))
+             .select("bucket", "user", "salt", "at", F.unix_millis("at").alias("at_ms"), "seq", kind.alias("kind"), F.coalesce("event_id", F.lit(0)).alias("event_id"), "body"))
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the store that keeps lists and timers
-    return keyed.groupBy("user", "salt").transformWithStateInPandas(Outbox(max_wait_ms, max_retries), RESULT, "append", "eventTime")
+    return keyed.groupBy("bucket").transformWithStateInPandas(Outbox(max_wait_ms, max_retries), RESULT, "append", "eventTime")

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import types
 
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -101,3 +103,78 @@ def test_answers_are_not_broadcast_to_be_checked(spark, tmp_path):
     assert "SortMergeJoin [event_id" in found._jdf.queryExecution().executedPlan().toString()
     got = {(r.model_used, r.version, r.n_recs, r.n_liked, r.n_by_version): r["n"] for r in found.groupBy("model_used", "version", "n_recs", "n_liked", "n_by_version").agg(F.count("*").alias("n")).collect()}
     assert got == {("Traditional", 0, 5, 1, 2): 500, ("Naive", 0, 5, 0, 0): 100, ("Naive", 1, 4, 0, 0): 400}
+
+
+class _Held:
+    """A state handle in memory that counts the calls into it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.kept = 0, set(), {}
+
+    def getListState(self, name, schema):
+        return _Variable(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls, self.timers = self.calls + 1, self.timers | {at}
+
+    def deleteTimer(self, at):
+        self.calls, self.timers = self.calls + 1, self.timers - {at}
+
+
+class _Variable:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def _call(self, change=None):
+        self.handle.calls += 1
+        if change is not None:
+            self.handle.kept[self.name] = change
+
+    def exists(self):
+        self._call()
+        return bool(self.handle.kept.get(self.name))
+
+    def get(self):
+        self._call()
+        found = self.handle.kept[self.name]
+        return iter(found) if isinstance(found, list) else found
+
+    def put(self, rows):
+        self._call(rows)
+
+    update = put
+
+    def appendValue(self, row):
+        self._call([*self.handle.kept.get(self.name, []), row])
+
+    def clear(self):
+        self._call([])
+
+
+def test_a_bucket_asks_the_state_once_for_all_its_users():
+    """Some thousand keys in one bucket, one without a name and messages without an id."""
+    r, rows = random.Random(5), []
+    for i in range(20_000):
+        kind = r.choice(["message"] * 4 + ["down"] * 4 + ["up"])
+        rows.append((r.randrange(0, 400_000, 500), i, kind, i if kind == "message" and i % 9 else None, f"u{r.randrange(2000)}" if i % 7 else None))
+    handle, box, got, wait, codes = _Held(), outbox.Outbox(30_000, 3), [], 0, {"message": outbox._MESSAGE, "up": outbox._UP, "down": outbox._DOWN}
+    box.init(handle)
+    for now in (100_000, 130_000, 131_000, 250_000, 10_000_000):
+        came = [x for x in rows if wait <= x[0] < now]
+        wait = now
+        if came:
+            code = [outbox._NAMELESS if kind == "message" and event is None else codes[kind] for _, _, kind, event, _ in came]
+            frame = pd.DataFrame({"user": [x[4] for x in came], "salt": 0, "at_ms": [x[0] for x in came], "seq": [x[1] for x in came], "kind": code,
+                                  "event_id": [x[3] or 0 for x in came], "body": [f"b{x[1]}" for x in came]})
+            assert not list(box.handleInputRows((0,), iter([frame.iloc[::2], frame.iloc[1::2]]), None))
+        clock = types.SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now - 20_000)
+        for at in [at for at in handle.timers if at <= now - 20_000]:
+            handle.timers.remove(at)
+            got += [x for frame in box.handleExpiredTimer((0,), clock, None) for x in frame.astype(object).itertuples(index=False, name=None)]
+    assert handle.calls < 150
+    plain = [(at, i, kind, (i, event), user) for at, i, kind, event, user in rows]
+    told = sorted((int(body[1:]), None if pd.isna(event) else int(event), str(user), outcome, retries, waited) for event, user, outcome, retries, waited, body in got)
+    assert told == sorted((i, event, str(user), outcome, retries, waited) for (i, event), user, outcome, retries, waited in replay(plain))
+    assert not handle.timers and not handle.kept["ahead"] and not handle.kept["waiting"]
