@@ -10,6 +10,7 @@ capacity alone - are put together by first fit.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -25,6 +26,8 @@ from relish.session import materialize
 
 #: spellings a worker keeps the ids of, over all tasks it runs; beyond that it starts anew
 KEPT_WORDS = 800_000
+#: stands between words that are encoded together
+MARK = "\x01"
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, task int, place long"
 
 
@@ -43,27 +46,48 @@ def cut(n: int, sizes: list[int]) -> list[int]:
     return out
 
 
-def token_ids(texts: list[str], encode: Callable[[list[str]], list[list[int]]], known: dict[str, bytes]) -> Iterator[bytes]:
+def token_ids(texts: list[str], encode: Callable[[list[str]], list[bytes]], known: dict[str, bytes]) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text.
 
     The tokenizer never lets a token cross white space, so words between blanks are encoded once and looked up after.
     """
     for text in texts:
         parts = text.replace("\n", " ").split(" ")
-        fresh = list({w for w in parts if w not in known})
+        fresh = list(set(parts).difference(known))
         if fresh:
             if len(known) > KEPT_WORDS:
                 known.clear()
                 fresh = list(set(parts))
-            known.update((w, np.array(ids, dtype="<u4").tobytes()) for w, ids in zip(fresh, encode(fresh), strict=True))
-        yield b"".join([known[w] for w in parts])
+            known.update(zip(fresh, encode(fresh), strict=True))
+        yield b"".join(map(known.__getitem__, parts))
 
 
-_loaded: dict[str, tuple[Callable[[list[str]], list[list[int]]], dict[str, bytes]]] = {}
+def word_encoder(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[list[str]], list[bytes]]:
+    """Little-endian 32-bit ids of each of some words, which a blank parts for the tokenizer too.
+
+    Words are encoded as one text with a mark between them, which costs less than a text for each. That needs a mark of one token
+    that no word holds; where it cannot be told from the words they are encoded one by one.
+    """
+    alone = encode([MARK, f"a {MARK} a", f"! {MARK} !"])
+    mark = alone[0][0] if len(alone[0]) == 1 and all(ids.count(alone[0][0]) == 1 for ids in alone) else None
+
+    def run(words: list[str]) -> list[bytes]:
+        joined = f" {MARK} ".join(words)
+        if mark is not None and joined.count(MARK) == len(words) - 1:
+            ids = np.array(encode([joined])[0], dtype="<u4")
+            at = np.flatnonzero(ids == mark)
+            if len(at) == len(words) - 1:
+                data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                return [data[start:end] for start, end in zip([0, *(4 * at + 4).tolist()], ends, strict=True)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in encode(words)]
+    return run
+
+
+_loaded: dict[str, tuple[Callable[[list[str]], list[bytes]], dict[str, bytes]]] = {}
 arrowtext.KEPT.append(_loaded.clear)
 
 
-def _encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str, bytes]]:
+def _encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], dict[str, bytes]]:
     """The tokenizer and the words known so far, once for each worker."""
     if path not in _loaded:
         import os
@@ -72,7 +96,7 @@ def _encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[st
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        _loaded[path] = (lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]), {}
+        _loaded[path] = word_encoder(lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]), {}
     return _loaded[path]
 
 

@@ -340,3 +340,28 @@ def test_pairs_grow_with_a_family_not_with_its_square(spark, words, monkeypatch)
         if size == 150:
             assert got == {k: c for k, (_, c) in plain.near_groups(docs).items()}
     assert made[300] <= 3 * made[150] and made[600] <= 3 * made[300]
+
+
+def test_packing_encodes_fresh_words_together():
+    """One text for all words with a mark between them; words that hold the mark, or a mark of no single token, go one by one."""
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    asked = []
+
+    def plain(words):
+        asked.append(len(words))
+        return [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]
+
+    words = ["", "Straße.", "don't", "́x", "a\tb", "12,5", "\u0000", "é", "'s", "\U0001f600!", "x" * 300]
+    wanted = [struct.pack(f"<{len(ids)}I", *ids) for ids in plain(words)]
+    encode = packing.word_encoder(plain)
+    asked.clear()
+    assert encode(words) == wanted and asked == [1]
+    assert encode(words[:1]) == wanted[:1]
+    marked = [*words, f"a{packing.MARK}b", packing.MARK]
+    assert encode(marked) == [struct.pack(f"<{len(ids)}I", *ids) for ids in plain(marked)]
+    assert packing.word_encoder(lambda texts: [[ord(c) for c in t] + [1] for t in texts])(["ab", ""]) == [struct.pack("<3I", 97, 98, 1), struct.pack("<I", 1)]
