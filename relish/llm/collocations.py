@@ -333,14 +333,16 @@ def _counted(slots: DataFrame, candidates: DataFrame, longest: int, least: int,
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """While encoded texts are read, whose rows are hundreds of kilobytes each, few of them go to a worker at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "32")
+    """While encoded texts are read, whose rows are hundreds of kilobytes each, few of them are decoded and go to a worker at a time."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, "32")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in names:
+            spark.conf.set(name, before[name])
 
 
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, block: int = 1 << 18) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -251,3 +251,12 @@ def test_learning_is_the_plain_method():
                 np_[i][c] += g * g
     assert np.allclose(z, zp) and np.allclose(n, np_)
     assert (language_id.coefficients(z, n, s) == 0).any()
+
+
+def test_encoded_texts_are_read_a_few_rows_at_a_time(spark):
+    """Neither the reader nor a worker holds more than some dozen rows of hundreds of kilobytes; other reads are left alone."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(n) for n in names]
+    with collocations._small_batches(spark):
+        assert all(int(spark.conf.get(n)) <= 32 for n in names)
+    assert [spark.conf.get(n) for n in names] == before
