@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -35,6 +34,8 @@ MAP_WORDS = 1 << 20
 GATHERED = 1 << 20
 #: rows of a batch that a task passes on
 SENT = 1 << 16
+#: texts, and encoded stretches of some hundred kilobytes, that go to a worker at a time
+TEXTS, STRETCHES = 512, 8
 
 _U = np.uint64
 _STEP = _U(0xC2B2AE3D27D4EB4F)
@@ -124,11 +125,22 @@ def _encoder(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _small_batches(spark: SparkSession):
+    """While encoded texts are read, whose rows are hundreds of kilobytes each, few of them are decoded and go to a worker at a time."""
+    return arrowtext.batches(spark, STRETCHES, STRETCHES)
+
+
+def _collected(rows: DataFrame) -> pa.Table:
+    """Rows of some numbers on the driver, in batches of their own size and not in those of large rows."""
+    with arrowtext.batches(rows.sparkSession, SENT, 4096):
+        return rows.toArrow()
+
+
 def bitmap(keys: DataFrame, key: str) -> np.ndarray:
     """Bits of the long ``key``s (low bits name the place), gathered as at most ``MAP_WORDS`` rows."""
     place = F.col(key).bitwiseAND(F.lit(64 * MAP_WORDS - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
-    found = keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    found = _collected(keys.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")))
     out = np.zeros(MAP_WORDS, dtype=_U)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(_U)
     return out
@@ -311,7 +323,7 @@ def _counted(slots: DataFrame, candidates: DataFrame, longest: int, least: int,
     named = candidates.withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)))
     out = spark.createDataFrame([], "path array<long>, a long")
     for b in range(blocks):
-        paths = named.filter(F.col("block") == b).select("path").toArrow().column("path").combine_chunks()
+        paths = _collected(named.filter(F.col("block") == b).select("path")).column("path").combine_chunks()
         if not len(paths):
             continue
         flat, lengths = paths.flatten().to_numpy().view(_U), paths.value_lengths().to_numpy()
@@ -320,7 +332,8 @@ def _counted(slots: DataFrame, candidates: DataFrame, longest: int, least: int,
         table[np.arange(longest) < lengths[:, None]] = code + 1
         trie, ends = doublearray.build(table, len(symbols))
         shared = spark.sparkContext.broadcast((symbols, trie, longest))
-        sums = slots.mapInArrow(_walk(shared), "state long, n long").groupBy("state").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+        reached = slots.mapInArrow(_walk(shared), "state long, n long").groupBy("state").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        sums = _collected(materialize(reached, "reached"))
         counts = np.zeros(trie.size, dtype=np.int64)
         counts[sums.column("state").to_numpy()] = sums.column("n").to_numpy()
         shared.destroy()
@@ -331,20 +344,6 @@ def _counted(slots: DataFrame, candidates: DataFrame, longest: int, least: int,
     return out
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """While encoded texts are read, whose rows are hundreds of kilobytes each, few of them are decoded and go to a worker at a time."""
-    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
-    before = {name: spark.conf.get(name) for name in names}
-    for name in names:
-        spark.conf.set(name, "32")
-    try:
-        yield
-    finally:
-        for name in names:
-            spark.conf.set(name, before[name])
-
-
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, block: int = 1 << 18) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact counts: of all words of a language (``lang, n``), and of what stands there ``least`` times or more, words (``lang, word,
     n``) and phrases (``lang, words, a``) of 2 to ``longest`` words.
@@ -353,7 +352,8 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     """
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    encoded = materialize(slim.mapInArrow(_encoder(longest), ENCODED), "encoded")
+    with arrowtext.batches(spark, TEXTS):
+        encoded = materialize(slim.mapInArrow(_encoder(longest), ENCODED), "encoded")
     with _small_batches(spark):
         return _count(encoded, longest, least, block)
 

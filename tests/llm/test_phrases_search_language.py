@@ -260,3 +260,23 @@ def test_encoded_texts_are_read_a_few_rows_at_a_time(spark):
     with collocations._small_batches(spark):
         assert all(int(spark.conf.get(n)) <= 32 for n in names)
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_small_rows_come_to_the_driver_in_large_batches(spark):
+    """Numbers that are collected while encoded texts are read are not cut into batches of a few rows."""
+    with collocations._small_batches(spark):
+        found = collocations._collected(spark.range(0, 1000, 1, 1))
+    assert found.num_rows == 1000 and found.column("id").num_chunks == 1
+
+
+def test_texts_are_encoded_some_hundred_at_a_time(spark, monkeypatch):
+    """Whole texts go to a worker in batches far below Spark's 10,000 rows."""
+    sizes, materialize = [], collocations.materialize
+
+    def watched(df, label):
+        sizes.append((label, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+        return materialize(df, label)
+    monkeypatch.setattr(collocations, "materialize", watched)
+    docs = spark.range(40).selectExpr("id as doc_id", "'one two three' as text", "'en' as lang")
+    assert collocations.mine(docs, least=30).count() > 0
+    assert dict(sizes)["encoded"] <= 1000
