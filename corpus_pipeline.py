@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relish.llm import decontaminate, jaccard_join, line_dedup, packing, prefilter, rule_ensemble
+from relish.llm import arrowtext, decontaminate, jaccard_join, line_dedup, packing, prefilter, rule_ensemble
 from relish.session import materialize
 
+#: whole texts, and shingle sets as large as they, that go to a worker at a time
+TEXTS = 512
+
 
 # All stages but the last return the rows they keep with their own columns, whatever their names; repeated rows and NULL
 # ids are rows as any other; a text is read whole, however long; no rows, no result.
@@ -57,6 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    with arrowtext.batches(spark, TEXTS):
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)

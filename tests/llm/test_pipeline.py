@@ -51,3 +51,16 @@ def test_stages_leave_own_columns_alone(spark):
                 assert {9001, 9002, 9003, 9004, None} <= set(kept) and kept.count(9004) == 2
         pieces = corpus_pipeline.STAGES[-1][1](spark, rows, SF)
         assert pieces.count() == 0 if rows is not docs else pieces.agg(F.sum("length")).first()[0] > 0
+
+
+def test_stages_take_some_hundred_texts_at_a_time(spark, monkeypatch):
+    """Every stage that is written hands its texts to the workers in batches far below Spark's 10,000 rows; later reads are left alone."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(name)))
+        return docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("last", lambda spark, docs, sf_dir: docs)])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(seen) == 2 and max(seen) <= 1000 and spark.conf.get(name) == before
