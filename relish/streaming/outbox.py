@@ -67,7 +67,7 @@ class Outbox(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         came = pa.concat_tables([pa.Table.from_pandas(frame[_HELD.names], _HELD, preserve_index=False) for frame in rows])
-        self.ahead.appendValue((_packed(came),))
+        self.ahead.appendValue((_packed(came.sort_by([(c, "ascending") for c in ("user", "salt", "at_ms", "seq")])),))  # rows like each other take less room
         first = pc.min(came["at_ms"]).as_py()
         if not self.alarm.exists() or first < self.alarm.get()[0]:
             self._wake(first)
@@ -80,91 +80,81 @@ class Outbox(StatefulProcessor):
         rows = pa.concat_tables(held) if held else _HELD.empty_table()
         passed = pc.less_equal(rows["at_ms"], now)
         due, ahead = rows.filter(passed), rows.filter(pc.invert(passed))
-        waiting: dict[tuple[str | None, int], list[list]] = {}
-        if self.waiting.exists():
-            for user, salt, *message in zip(*(c.to_pylist() for c in _unpacked(self.waiting.get()[0]).columns), strict=True):
-                waiting.setdefault((user, salt), []).append(message)
-        up = set(zip(*(c.to_pylist() for c in _unpacked(self.line.get()[0]).columns), strict=True)) if self.line.exists() else set()
-        out = _work_through(due, waiting, up, now, self.max_wait_ms, self.max_retries)
+        waiting, line = (_unpacked(state.get()[0]) if state.exists() else schema.empty_table() for state, schema in ((self.waiting, _WAITING), (self.line, _LINE)))
+        out, waiting, line = _work_through(due, waiting, line, now, self.max_wait_ms, self.max_retries)
         if ahead.num_rows:
             self.ahead.put([(_packed(ahead),)])
         else:
             self.ahead.clear()
-        unsent = [(*who, *message) for who, messages in waiting.items() for message in messages]
-        for state, schema, kept in ((self.waiting, _WAITING, unsent), (self.line, _LINE, list(up))):
-            if kept:
-                state.update((_packed(_table(kept, schema)),))
+        for state, kept in ((self.waiting, waiting), (self.line, line)):
+            if kept.num_rows:
+                state.update((_packed(kept),))
             else:
                 state.clear()
         nexts = [pc.min(ahead["at_ms"]).as_py()] if ahead.num_rows else []
-        self._wake(min(nexts + [m[2] + self.max_wait_ms + 1 for m in unsent], default=None))
-        if out:
-            yield _table(out, _RESULT).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        self._wake(min(nexts + ([pc.min(waiting["at"]).as_py() + self.max_wait_ms + 1] if waiting.num_rows else []), default=None))
+        if out.num_rows:
+            yield out.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
     def close(self) -> None:
         pass
 
 
-def _work_through(due: pa.Table, waiting: dict, up: set, now: int, max_wait_ms: int, max_retries: int) -> list[tuple]:
-    """What became of messages up to ``now``; ``waiting`` and ``up`` are brought up to date.
+def _work_through(due: pa.Table, waiting: pa.Table, line: pa.Table, now: int, max_wait_ms: int, max_retries: int) -> tuple[pa.Table, pa.Table, pa.Table]:
+    """What became of messages up to ``now``, the messages that still wait and the keys that are connected then.
 
-    A message is (at, event_id, retries, body). A key's messages wait in the order of their time, so the first is the first to expire.
+    A message's fate is the first connection, or the first failed try too many, that follows it in time in its key's rows. So all
+    messages are worked through as columns: rows stand by key, time and number, and each message looks its next rows up. Those
+    that waited before come before their key's first row.
     """
-    out: list[tuple] = []
-
-    def done(who: tuple, message: list, outcome: str, waited: int) -> None:
-        out.append((message[1], who[0], outcome, message[2], waited, message[3]))
-
-    def expire(who: tuple, messages: list[list], at: int) -> list[list]:
-        for m in messages:
-            if at - m[0] > max_wait_ms:
-                done(who, m, "stale", max_wait_ms + 1)
-        return [m for m in messages if at - m[0] <= max_wait_ms]
-
-    users = due["user"].combine_chunks().dictionary_encode("encode")
-    names, code, salt = users.dictionary.to_pylist(), users.indices.to_numpy(), due["salt"].to_numpy()
-    order = np.lexsort((due["seq"].to_numpy(), due["at_ms"].to_numpy(), salt, code))
-    columns = [code[order].tolist(), salt[order].tolist(), *[due[c].take(pa.array(order)).to_pylist() for c in ("at_ms", "kind", "event_id", "body")]]
-    who, last, messages, connected = None, None, [], False
-    for user, part, at, kind, event_id, body in zip(*columns, strict=True):
-        if (user, part) != last:
-            if who is not None:
-                waiting[who] = messages
-            last, who = (user, part), (names[user], part)
-            messages, connected = waiting.get(who, []), who in up
-        if messages and at - messages[0][0] > max_wait_ms:
-            messages = expire(who, messages, at)
-        if kind == _UP:
-            connected = True
-            up.add(who)
-        elif kind == _DOWN:
-            connected = False
-            up.discard(who)
-            for m in messages:
-                m[2] += 1
-                if m[2] > max_retries:
-                    done(who, m, "retries", at - m[0])
-            messages = [m for m in messages if m[2] <= max_retries]
-        elif kind != _OTHER:
-            messages.append([at, event_id if kind == _MESSAGE else None, 0, body])
-        if connected and messages:
-            for m in messages:
-                done(who, m, "sent", at - m[0])
-            messages = []
-    if who is not None:
-        waiting[who] = messages
-    for key, left in waiting.items():
-        waiting[key] = expire(key, left, now)
-    return out
-
-
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema)
+    n, w = due.num_rows, waiting.num_rows
+    users = pa.chunked_array([c for t in (due, waiting, line) for c in t["user"].chunks], pa.string()).combine_chunks()
+    salts = np.concatenate([t["salt"].to_numpy() for t in (due, waiting, line)]).astype(np.int64)
+    keys = users.dictionary_encode("encode").indices.to_numpy() * (salts.max(initial=0) + 1) + salts
+    _, one, whose = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.lexsort((due["seq"].to_numpy(), due["at_ms"].to_numpy(), whose[:n]))
+    key, at, kind = whose[:n][order], due["at_ms"].to_numpy()[order], due["kind"].to_numpy()[order]
+    start, stop = (np.searchsorted(key, np.arange(len(one)), side=side) for side in ("left", "right"))
+    ups, downs, lines = np.flatnonzero(kind == _UP), np.flatnonzero(kind == _DOWN), np.flatnonzero((kind == _UP) | (kind == _DOWN))
+    was_up = np.zeros(len(one), dtype=bool)
+    was_up[whose[n + w:]] = True
+
+    def connected(place: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Whether a key is connected before a place of its rows."""
+        last = np.append(-1, lines)[np.searchsorted(lines, place)]
+        return np.where(last >= start[of], np.append(kind, _OTHER)[last] == _UP, was_up[of])
+    came = np.flatnonzero((kind == _MESSAGE) | (kind == _NAMELESS))
+    of, sent_at = np.concatenate([whose[n:n + w], key[came]]), np.concatenate([waiting["at"].to_numpy(), at[came]])
+    tries, begin = np.concatenate([waiting["retries"].to_numpy(), np.zeros(len(came), dtype=np.int32)]), np.concatenate([start[whose[n:n + w]], came + 1])
+    at_once = np.concatenate([np.zeros(w, dtype=bool), connected(came, key[came])])
+    before = np.searchsorted(downs, begin)
+    up = np.append(ups, n)[np.searchsorted(ups, begin)]
+    fail = np.append(downs, n)[np.minimum(before + np.maximum(max_retries - tries, 0), len(downs))]
+    up_wait, fail_wait = (np.append(at, 0)[place] - sent_at for place in (up, fail))
+    sent, failed = ((place < stop[of]) & (wait <= max_wait_ms) for place, wait in ((up, up_wait), (fail, fail_wait)))
+    failed &= ~at_once & ~(sent & (up < fail))
+    sent = at_once | (sent & ~failed)
+    done = sent | failed | (now - sent_at > max_wait_ms)
+    times = np.unique(np.concatenate([at, sent_at + max_wait_ms]))
+    in_time = np.searchsorted(key * len(times) + np.searchsorted(times, at), of * len(times) + np.searchsorted(times, sent_at + max_wait_ms), side="right")
+    tried = tries + np.searchsorted(downs, np.maximum(np.where(sent, up, in_time), begin)) - before
+    retries = np.where(at_once, 0, np.where(failed, max_retries + 1, tried))
+    waited = np.where(at_once, 0, np.where(sent, up_wait, np.where(failed, fail_wait, max_wait_ms + 1)))
+
+    rows = due.take(pa.array(order[came]))
+    named = pc.if_else(pc.equal(rows["kind"], _NAMELESS), pa.scalar(None, pa.int64()), rows["event_id"])
+    told = pa.table({"user": pa.chunked_array([*waiting["user"].chunks, *rows["user"].chunks], pa.string()), "salt": pa.chunked_array([*waiting["salt"].chunks, *rows["salt"].chunks], pa.int32()),
+                     "at": pa.array(sent_at, pa.int64()), "event_id": pa.chunked_array([*waiting["event_id"].chunks, *named.chunks], pa.int64()), "retries": pa.array(retries, pa.int32()),
+                     "body": pa.chunked_array([*waiting["body"].chunks, *rows["body"].chunks], pa.string()), "waited_ms": pa.array(waited, pa.int64()),
+                     "outcome": pa.array(np.array(["stale", "sent", "retries"], dtype=object)[np.where(sent, 1, np.where(failed, 2, 0))], pa.string())})
+    still_up = one[connected(stop, np.arange(len(one)))]
+    kept = told.filter(pa.array(~done)).select(_WAITING.names).cast(_WAITING)
+    return told.filter(pa.array(done)).select(_RESULT.names), kept, pa.table({"user": users.take(pa.array(still_up)), "salt": pa.array(salts[still_up], pa.int32())})
 
 
 def _packed(table: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
         stream.write_table(table)
     return out.getvalue().to_pybytes()
 

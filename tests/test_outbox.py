@@ -5,6 +5,7 @@ import random
 import types
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -178,3 +179,43 @@ def test_a_bucket_asks_the_state_once_for_all_its_users():
     told = sorted((int(body[1:]), None if pd.isna(event) else int(event), str(user), outcome, retries, waited) for event, user, outcome, retries, waited, body in got)
     assert told == sorted((i, event, str(user), outcome, retries, waited) for (i, event), user, outcome, retries, waited in replay(plain))
     assert not handle.timers and not handle.kept["ahead"] and not handle.kept["waiting"]
+
+
+def test_a_bucket_is_worked_through_as_columns():
+    """Users without a name, messages without an id and what waited before: the fates of a replay."""
+    r, held, gone = random.Random(5), [], []
+    waiting, line, wait_ms = outbox._WAITING.empty_table(), outbox._LINE.empty_table(), 30_000
+    for turn in range(5):
+        came = []
+        for i in range(120):
+            kind = r.choice([outbox._MESSAGE, outbox._MESSAGE, outbox._NAMELESS, outbox._UP, outbox._DOWN, outbox._DOWN, outbox._OTHER])
+            came.append((r.choice([None, "a", "b", "c"]), r.randrange(2), turn * 60_000 + r.randrange(0, 60_000, 250), turn * 1000 + i, kind, 1000 * turn + i, f"b{turn}-{i}"))
+        held += came
+        due = pa.table([pa.array(c, t) for c, t in zip(zip(*came, strict=True), outbox._HELD.types, strict=True)], schema=outbox._HELD)
+        told, waiting, line = outbox._work_through(due, waiting, line, (turn + 1) * 60_000, wait_ms, 3)
+        gone += zip(*(told[c].to_pylist() for c in ("body", "user", "outcome", "retries", "waited_ms")), strict=True)
+        assert told.column_names == outbox._RESULT.names and waiting.schema == outbox._WAITING and line.schema == outbox._LINE
+    gone += [(b, u, "stale", n, wait_ms + 1) for b, u, n in zip(*(waiting[c].to_pylist() for c in ("body", "user", "retries")), strict=True)]
+    ids, kinds = {}, {outbox._MESSAGE: "message", outbox._NAMELESS: "message", outbox._UP: "up", outbox._DOWN: "down", outbox._OTHER: "other"}
+    plain = []
+    for user, salt, at, seq, kind, _, body in held:
+        ids[seq] = body
+        plain.append((at, seq, kinds[kind], seq, (str(user), salt)))
+    want = [(ids[seq], None if user == "None" else user, outcome, retries, waited) for seq, (user, _), outcome, retries, waited in replay([row for row in plain if row[2] != "other"])]
+    assert sorted(gone, key=str) == sorted(want, key=str)
+
+
+def test_what_is_held_takes_less_room_than_rows_as_they_come():
+    r, rows = random.Random(6), []
+    for i in range(4000):
+        kind = r.choice([outbox._MESSAGE, *[outbox._UP, outbox._DOWN] * 3])
+        event = i if kind == outbox._MESSAGE else 0
+        rows.append((f"user{r.randrange(40)}", r.randrange(8), r.randrange(0, 400_000, 250), 10 * i, kind, event, f'{{"action":"send","id":{i}}}' if event else None))
+    came = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), outbox._HELD.types, strict=True)], schema=outbox._HELD)
+    sink, handle, box = pa.BufferOutputStream(), _Held(), outbox.Outbox(30_000, 3)
+    with pa.ipc.new_stream(sink, came.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+        stream.write_table(came)
+    box.init(handle)
+    assert list(box.handleInputRows((1,), iter([came.to_pandas()]), None)) == []
+    assert len(handle.kept["ahead"][0][0]) < 0.7 * sink.getvalue().size
+    assert sorted(outbox._unpacked(handle.kept["ahead"][0][0]).to_pylist(), key=str) == sorted(came.to_pylist(), key=str)
